@@ -1,0 +1,5 @@
+"""Binomial coefficients."""
+
+from math import comb as choose
+
+__all__ = ["choose"]
