@@ -48,6 +48,20 @@ def features(text: str, memo: dict[str, tuple[int, ...]]) -> set[int]:
     return out
 
 
+def found_in(text: str, weights: dict[int, float], memo: dict[str, tuple[int, ...]]) -> set[int]:
+    """Features of a text that have a weight."""
+    if len(memo) > _MEMO:
+        memo.clear()
+    out: set[int] = set()
+    for piece in set(text.lower().split()):
+        some = memo.get(piece)
+        if some is None:
+            some = memo[piece] = tuple(f for f in features_of(piece) if f in weights)
+        if some:
+            out.update(some)
+    return out
+
+
 @dataclass
 class Model:
     intercept: float
@@ -145,17 +159,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             out = []
             for text in texts_of(batch):
-                if len(memo) > _MEMO:
-                    memo.clear()
-                found: set[int] = set()
-                for piece in set(text.lower().split()):
-                    some = memo.get(piece)
-                    if some is None:
-                        some = memo[piece] = tuple(f for f in features_of(piece) if f in weights)
-                    if some:
-                        found.update(some)
-                out.append(model.score(found))
+                out.append(model.score(found_in(text, weights, memo)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under the threshold, unchanged: one pass, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, memo = shared.value, {}
+        for batch in slices(batches):
+            keep = [model.score(found_in(text, model.weights, memo)) < threshold for text in texts_of(batch)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
