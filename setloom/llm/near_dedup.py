@@ -8,7 +8,8 @@ link if its sets of shingles have a Jaccard similarity of at least 0.8, computed
 
 Texts with the same words are one node. In a band's group each node is compared with the group's smallest, not with
 every other one; then the nodes of groups that still hold several components are compared across components, so no
-candidate pair between different components is left out. Classes are connected components of the links.
+candidate pair between different components is left out but those whose registers show, by one bit each, that the
+similarity is below the limit (a pair at the limit is taken for such with a chance of about one in a million). Classes are connected components of the links.
 
 Every row of the input gives one row: doc_id, class_id (smallest doc_id of its class), n_shingles. Null, empty and
 wordless texts are classes of their own. Texts of fewer than five words have one shingle. Ties and repeated rows share
@@ -70,29 +71,43 @@ def bands(owner: np.ndarray) -> np.ndarray:
     return out.view("i8")
 
 
+#: Of REGISTERS bits, so many may differ in a pair that is compared: 5 standard deviations above the mean at 0.8.
+DIFFERENT = int(REGISTERS * 0.1 + 5 * math.sqrt(REGISTERS * 0.09) + 1)
+
+
+def sketch(owner: np.ndarray) -> np.ndarray:
+    """One bit of each register's shingle, in 64-bit words."""
+    bits = np.zeros(-(-REGISTERS // 64) * 64, "u1")
+    bits[:REGISTERS] = words.mixed(owner ^ _OTHER) & np.uint64(1)
+    return np.packbits(bits).view("i8")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (16-byte digest of the words; null without words), n (distinct shingles), bands."""
+    """doc_id, node (16-byte digest of the words; null without words), n (distinct shingles), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         memo = words.WordHashes()
         for batch in slices(batches):
-            nodes, sizes, made = [], [], []
+            nodes, sizes, made, bits = [], [], [], []
             for text in texts_of(batch):
                 h = words.hashes(text, memo)
                 if not len(h):
                     nodes.append(None)
                     sizes.append(0)
                     made.append(None)
+                    bits.append(None)
                     continue
                 elements, counts = np.unique(words.shingles(h), return_counts=True)
                 nodes.append(xxh3_128_digest(h.tobytes()))
                 sizes.append(len(elements))
-                made.append(bands(registers(elements, 1 + np.log(counts))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands"])
+                owner = registers(elements, 1 + np.log(counts))
+                made.append(bands(owner))
+                bits.append(sketch(owner))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n long, bands array<long>, sketch array<long>")
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -137,7 +152,7 @@ def _sized(x: str, y: str, similarity: float) -> F.Column:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "bands")).alias("s")).select("node", "s.doc_id", "s.n", "s.bands")
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "bands", "sketch")).alias("s")).select("node", "s.doc_id", "s.n", "s.bands", "s.sketch")
     nodes = stored(nodes, "nodes")
     members = nodes.select("node", "doc_id", "n", F.explode("bands").alias("band"))
     groups = members.groupBy("band").agg(F.min(F.struct("node", "n", "doc_id")).alias("hub"), F.count("*").alias("size")).where("size > 1")
@@ -150,9 +165,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     placed = shared.join(labels, "node", "left").select("band", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
     split = placed.groupBy("band").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band")
-    rest = stored(placed.join(split, "band"), "open")
+    rest = stored(placed.join(split, "band").join(nodes.select("node", "sketch"), "node"), "open")
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & _sized("x.n", "y.n", similarity) & (F.col("x.node") != F.col("y.hub")) & (F.col("x.hub") != F.col("y.node")))
+    apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(-(-REGISTERS // 64))), F.lit(0))
+    across = x.join(y, (apart <= DIFFERENT) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & _sized("x.n", "y.n", similarity) & (F.col("x.node") != F.col("y.hub")) & (F.col("x.hub") != F.col("y.node")))
     across = stored(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "across")
     more = stored(links(across, texts, similarity), "links")
     if more.limit(1).count():
