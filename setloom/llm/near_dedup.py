@@ -6,8 +6,8 @@ ends as soon as it is later than every register. Registers of two texts agree wi
 of their weighted sets. REGISTERS make BANDS of ROWS; texts that agree in a band are candidates; a candidate pair is a
 link if its sets of shingles have a Jaccard similarity of at least 0.8, computed from the whole texts.
 
-Texts with the same words are one node. In a band's group each node is compared with the group's smallest, not with
-every other one; then the nodes of groups that still hold several components are compared across components, so no
+Texts with the same words are one node. In a band's group each node is compared with the group's hub, the node with
+most fellows over all its groups, and not with every other one; then the nodes of groups that still hold several components are compared across components, so no
 candidate pair between different components is left out but those whose registers show, by one bit each, that the
 similarity is below the limit (a pair at the limit is taken for such with a chance of about one in a million). Classes are connected components of the links.
 
@@ -155,8 +155,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "bands", "sketch")).alias("s")).select("node", "s.doc_id", "s.n", "s.bands", "s.sketch")
     nodes = stored(nodes, "nodes")
     members = nodes.select("node", "doc_id", "n", F.explode("bands").alias("band"))
-    groups = members.groupBy("band").agg(F.min(F.struct("node", "n", "doc_id")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(members.join(groups.select("band", "hub"), "band").select("band", "node", "n", "doc_id", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    grouped = stored(members.join(groups, "band"), "grouped")
+    # the text that most others came from is in most of their groups: it is the hub there, and near copies link to it
+    degrees = grouped.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = grouped.join(degrees, "node")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
+    shared = stored(grouped.join(hubs, "band").select("band", "node", "n", "doc_id", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    forget(grouped)
     wanted = shared.select("node", "doc_id").distinct()
     texts = stored(candidate_texts(docs, wanted), "texts")
     stars = shared.where((F.col("node") != F.col("hub")) & _sized("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
