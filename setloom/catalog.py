@@ -6,8 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.plans import draws
+from setloom.plans import core, draws
+from setloom.plans.dialect import Duck, Spark, doubles
 
 FLAGSHIP = "a4_top_pairs"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES}
-ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
+
+
+def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = doubles(core.SQL[name](Spark()))
+        for t in TABLES:
+            if t in text:
+                draws.table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    return query
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **{n: planned(n) for n in core.SQL}}
+ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **{n: doubles(f(Duck())) for n, f in core.SQL.items()}}
