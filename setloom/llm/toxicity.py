@@ -75,13 +75,25 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -500), 500))))
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+class Rows:
+    """Feature hashes of many texts in one array, with the count of each text."""
+
+    def __init__(self, lengths: np.ndarray, values: np.ndarray):
+        self.lengths, self.values = lengths, values
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+
+def _flat(rows: list[list[int]] | Rows) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(rows, Rows):
+        return np.repeat(np.arange(len(rows), dtype="i4"), rows.lengths), rows.values
     return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.array([f for x in rows for f in x], "i8")
 
 
-def fit(positive: list, unlabelled: list, prior: float, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def fit(positive: list | Rows, unlabelled: list | Rows, prior: float, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """nnPU on lists of feature hashes; full gradients with Adam."""
-    if not positive or not unlabelled or prior <= 0:
+    if not len(positive) or not len(unlabelled) or prior <= 0:
         return Model(0.0, {}, 0.0)
     pos_row, pos = _flat(positive)
     unl_row, unl = _flat(unlabelled)
@@ -135,17 +147,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def share(bound: int, count: int) -> Column:
         return F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, bound / max(count, 1)) * (1 << 30))
 
-    def rows(df: DataFrame) -> list[list[int]]:
+    def rows(df: DataFrame, wanted: np.ndarray | None = None) -> Rows:
+        """Features of the sampled texts, those in `wanted` only where given, as one array."""
+
+        def among(f: np.ndarray) -> np.ndarray:
+            if not len(wanted):
+                return np.zeros(len(f), bool)
+            return wanted[np.minimum(np.searchsorted(wanted, f), len(wanted) - 1)] == f
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo: dict = {}
             for batch in slices(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x, memo)) for x in texts_of(batch)], pa.list_(pa.int64()))], ["found"])
+                found = [np.fromiter(x := features(t, memo), "u4", len(x)) for t in texts_of(batch)]
+                found = [np.sort(f if wanted is None else f[among(f)]).tobytes() for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["found"])
 
-        return [x.as_py() for x in df.select("text").mapInArrow(run, "found array<long>").toArrow().column("found")]
+        made = [np.frombuffer(x.as_py(), "u4") for x in df.select("text").mapInArrow(run, "found binary").toArrow().column("found")]
+        return Rows(np.array([len(x) for x in made], "i8"), np.concatenate([*made, np.zeros(0, "u4")]))
 
     positive = toxic.where((F.col("toxic") == 1) & share(POSITIVES, int(counts["pos"]))).select("doc_id")
     prior = counts["pos"] / counts["n"]
-    return fit(rows(texts.join(positive, "doc_id", "left_semi")), rows(texts.where(share(UNLABELLED, total))), min(prior, 0.99))
+    known = rows(texts.join(positive, "doc_id", "left_semi"))
+    names, often = np.unique(known.values, return_counts=True)
+    # features of fewer positive texts get no weight, so nothing is asked about them
+    return fit(known, rows(texts.where(share(UNLABELLED, total)), names[often >= LEAST_DOCS]), min(prior, 0.99))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
