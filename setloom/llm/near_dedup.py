@@ -8,8 +8,9 @@ link if its sets of shingles have a Jaccard similarity of at least 0.8, computed
 
 Texts with the same words are one node. In a band's group each node is compared with the group's hub, the node with
 most fellows over all its groups, and not with every other one; then the nodes of groups that still hold several components are compared across components, so no
-candidate pair between different components is left out but those whose registers show, by one bit each, that the
-similarity is below the limit (a pair at the limit is taken for such with a chance of about one in a million). Classes are connected components of the links.
+candidate pair between different components is left out but those whose shingles cannot be similar enough, as a bitmap
+of them proves, or whose registers show, by one bit each, that the similarity is below the limit (a pair at the limit is
+taken for such with a chance of about one in a million). Classes are connected components of the links.
 
 Every row of the input gives one row: doc_id, class_id (smallest doc_id of its class), n_shingles. Null, empty and
 wordless texts are classes of their own. Texts of fewer than five words have one shingle. Ties and repeated rows share
@@ -82,15 +83,36 @@ def sketch(owner: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view("i8")
 
 
+#: 64-bit words of the bitmap of a text's shingles.
+WORDS = 16
+
+
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """A set bit for each shingle; shingles may share bits."""
+    bits = np.zeros(WORDS * 64, "u1")
+    bits[elements % np.uint64(len(bits))] = 1
+    return np.packbits(bits).view("i8")
+
+
+def possible(x: str, y: str, similarity: float) -> F.Column:
+    """Whether sets of x.n and y.n shingles can be similar enough, by their bitmaps and the numbers of bits x.filled, y.filled.
+
+    A bit of x that y has not shows a shingle of x that y has not, so this bounds the common shingles from above.
+    """
+    either = sum((F.bit_count(F.col(f"{x}.bitmap")[i].bitwiseOR(F.col(f"{y}.bitmap")[i])) for i in range(WORDS)), F.lit(0))
+    common = F.least(F.col(f"{x}.n") + F.col(f"{y}.filled"), F.col(f"{y}.n") + F.col(f"{x}.filled")) - either
+    return common >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (similarity / (1 + similarity)) - 1e-9
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (16-byte digest of the words; null without words), n (distinct shingles), bands, sketch."""
+    """doc_id, node (16-byte digest of the words; null without words), n (distinct shingles), bands, sketch, bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         memo = words.WordHashes()
         for batch in slices(batches):
-            nodes, sizes, made, bits = [], [], [], []
+            nodes, sizes, made, bits, maps = [], [], [], [], []
             for text in texts_of(batch):
                 h = words.hashes(text, memo)
                 if not len(h):
@@ -98,6 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sizes.append(0)
                     made.append(None)
                     bits.append(None)
+                    maps.append(None)
                     continue
                 elements, counts = np.unique(words.shingles(h), return_counts=True)
                 nodes.append(xxh3_128_digest(h.tobytes()))
@@ -105,9 +128,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 owner = registers(elements, 1 + np.log(counts))
                 made.append(bands(owner))
                 bits.append(sketch(owner))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands", "sketch"])
+                maps.append(bitmap(elements))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands", "sketch", "bitmap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n long, bands array<long>, sketch array<long>, bitmap array<long>")
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,16 +176,16 @@ def _sized(x: str, y: str, similarity: float) -> F.Column:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "bands", "sketch")).alias("s")).select("node", "s.doc_id", "s.n", "s.bands", "s.sketch")
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "bands", "sketch", "bitmap")).alias("s")).select("node", "s.doc_id", "s.n", "s.bands", "s.sketch", "s.bitmap")
     nodes = stored(nodes, "nodes")
-    members = nodes.select("node", "doc_id", "n", F.explode("bands").alias("band"))
+    members = nodes.select("node", "doc_id", "n", F.posexplode("bands").alias("place", "band"))
     groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     grouped = stored(members.join(groups, "band"), "grouped")
     # the text that most others came from is in most of their groups: it is the hub there, and near copies link to it
     degrees = grouped.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = grouped.join(degrees, "node")
     hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
-    shared = stored(grouped.join(hubs, "band").select("band", "node", "n", "doc_id", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    shared = stored(grouped.join(hubs, "band").select("band", "place", "node", "n", "doc_id", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
     forget(grouped)
     wanted = shared.select("node", "doc_id").distinct()
     texts = stored(candidate_texts(docs, wanted), "texts")
@@ -169,13 +193,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     edges = stored(links(stars, texts, similarity), "links")
     labels = components(edges)
 
-    placed = shared.join(labels, "node", "left").select("band", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
+    placed = shared.join(labels, "node", "left").select("band", "place", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
     split = placed.groupBy("band").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band")
-    rest = stored(placed.join(split, "band").join(nodes.select("node", "sketch"), "node"), "open")
+    # a pair is made where its first common band is; `before` has a node's bands up to there
+    before, filled = F.slice("bands", 1, F.col("place")).alias("before"), F.aggregate("bitmap", F.lit(0), lambda a, b: a + F.bit_count(b)).alias("filled")
+    rest = placed.join(split, "band").join(nodes.select("node", "bands", "sketch", "bitmap"), "node")
+    rest = stored(rest.select("band", "node", "n", "hub", "label", "sketch", "bitmap", filled, before), "open")
     x, y = rest.alias("x"), rest.alias("y")
     apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(-(-REGISTERS // 64))), F.lit(0))
-    across = x.join(y, (apart <= DIFFERENT) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & _sized("x.n", "y.n", similarity) & (F.col("x.node") != F.col("y.hub")) & (F.col("x.hub") != F.col("y.node")))
-    across = stored(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "across")
+    cheap = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.node") != F.col("y.hub")) & (F.col("x.hub") != F.col("y.node"))
+    across = x.join(y, cheap & _sized("x.n", "y.n", similarity) & (apart <= DIFFERENT) & possible("x", "y", similarity) & ~F.arrays_overlap("x.before", "y.before"))
+    across = stored(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "across")
     more = stored(links(across, texts, similarity), "links")
     if more.limit(1).count():
         forget(labels)

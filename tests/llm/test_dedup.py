@@ -188,3 +188,22 @@ def test_packing_takes_neighbours():
 
 def test_packing_empty(spark):
     assert packing.packed(docs(spark, []), JSON).count() == 0
+
+
+def test_bitmap_bound_keeps_every_similar_pair(spark):
+    import numpy as np
+    from setloom.llm import near_dedup
+
+    rng, rows = np.random.default_rng(5), []
+    for n in (1, 2, 5, 40, 300, 3000):
+        for share in (0.5, 0.78, 0.8, 0.82, 1.0):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.concatenate((x[: round(len(x) * share)], rng.integers(0, 1 << 63, len(x) - round(len(x) * share)).astype(np.uint64)))
+            maps = [near_dedup.bitmap(v) for v in (x, y)]
+            both = len(np.intersect1d(x, y))
+            side = [{"n": len(v), "bitmap": m.tolist(), "filled": sum(bin(int(w) & (1 << 64) - 1).count("1") for w in m)} for v, m in zip((x, y), maps)]
+            rows.append((*side, both / (len(x) + len(y) - both)))
+    kind = "struct<n long, bitmap array<long>, filled int>"
+    made = spark.createDataFrame(rows, f"x {kind}, y {kind}, similarity double").select("similarity", near_dedup.possible("x", "y", 0.8).alias("possible")).collect()
+    assert all(r.possible for r in made if r.similarity >= 0.8)
+    assert not all(r.possible for r in made)
