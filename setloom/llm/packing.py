@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import range_bounds, range_bucket, shuffle_partitions, slices, stored, texts_of
+from .common import forget, range_bounds, range_bucket, shuffle_partitions, slices, stored, texts_of
 
 LENGTH = 1024
 SHARD = 512
@@ -170,7 +170,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGT
 
     # the digest of doc_id, the last part of the order, splits groups of equal texts
     keyed = table.where(F.col("ids").isNotNull()).select("doc_id", "ids").mapInArrow(keys, "doc_id long, ids binary, key long")
-    keyed = keyed.withColumn("key", F.col("key").bitwiseAND(~0x3FFFFF).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(0x3FFFFF)))
+    keyed = stored(keyed.withColumn("key", F.col("key").bitwiseAND(~0x3FFFFF).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(0x3FFFFF))), "keyed")
+    forget(table)
     bounds = range_bounds(keyed.select("key"), "key", shuffle_partitions(spark))
     dealt = keyed.withColumn("part", range_bucket(F.col("key"), bounds)).repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("part", "key", "doc_id", F.xxhash64("ids"))
 
