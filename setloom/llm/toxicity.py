@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     positive = toxic.where((F.col("toxic") == 1) & share(POSITIVES, int(counts["pos"]))).select("doc_id")
     prior = counts["pos"] / counts["n"]
-    known = rows(texts.join(positive, "doc_id", "left_semi"))
+    # a share of the distinct positive ids by hash, about POSITIVES of them at any size, so they can be broadcast and no text is shuffled
+    known = rows(texts.join(F.broadcast(positive), "doc_id", "left_semi"))
     names, often = np.unique(known.values, return_counts=True)
     # features of fewer positive texts get no weight, so nothing is asked about them
     return fit(known, rows(texts.where(share(UNLABELLED, total)), names[often >= LEAST_DOCS]), min(prior, 0.99))
