@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.plans import core, draws, extra
+from setloom.plans import core, draws, more
 from setloom.plans.dialect import Duck, Spark, doubles
 
 FLAGSHIP = "a4_top_pairs"
@@ -15,7 +15,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = doubles(extra.SQL[name](Spark()))
+        text = doubles(more.SQL[name](Spark()))
         for t in TABLES:
             if t in text:
                 draws.table(spark, sf_dir, t).createOrReplaceTempView(t)
@@ -24,5 +24,5 @@ def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **{n: planned(n) for n in extra.SQL}}
-ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **{n: doubles(f(Duck())) for n, f in extra.SQL.items()}}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **{n: planned(n) for n in more.SQL}}
+ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **{n: doubles(f(Duck())) for n, f in more.SQL.items()}}

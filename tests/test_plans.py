@@ -6,7 +6,7 @@ import pytest
 
 from setloom import catalog
 
-FAST = ["a4_top_pairs", "a1_item_frequency", "a5_replicated_evidence", "p4_regime_cut", "j6_nearest_level", "w7_coprime_branches", "w17_spend_cap", "h1_gcd", "h3_ticket_rank", "a16_label_shuffle", "w3_poi_by_block", "w11_decayed_heat", "a30_seasonal_profile", "a32_candidate_score", "h4_hit_distribution", "h6_halton", "h7_tier_counts", "t4_match_cap"]
+FAST = ["a4_top_pairs", "a1_item_frequency", "a5_replicated_evidence", "p4_regime_cut", "j6_nearest_level", "w7_coprime_branches", "w17_spend_cap", "h1_gcd", "h3_ticket_rank", "a16_label_shuffle", "w3_poi_by_block", "w11_decayed_heat", "a30_seasonal_profile", "a32_candidate_score", "h4_hit_distribution", "h6_halton", "h7_tier_counts", "t4_match_cap", "s4_infer_roles", "s7_dates_in_words", "s8_remap_rows", "s10_prize_rows", "b2_unpopular_tickets", "b8_quasi_random", "e3_split_eras", "e8_policy_search", "e9_model_table"]
 
 
 def rows(values):
