@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.plans import core, draws, more
+from setloom.operators import ranking
+from setloom.plans import draws, more
 from setloom.plans.dialect import Duck, Spark, doubles
+from setloom.streaming import jobs
 
 FLAGSHIP = "a4_top_pairs"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
@@ -24,5 +26,5 @@ def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **{n: planned(n) for n in more.SQL}}
-ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **{n: doubles(f(Duck())) for n, f in more.SQL.items()}}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **ranking.QUERIES, **jobs.QUERIES, **{n: planned(n) for n in more.SQL}}
+ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **ranking.ORACLE_SQL, **jobs.ORACLE_SQL, **{n: doubles(f(Duck())) for n, f in more.SQL.items()}}

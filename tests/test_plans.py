@@ -6,7 +6,7 @@ import pytest
 
 from setloom import catalog
 
-FAST = ["a4_top_pairs", "a1_item_frequency", "a5_replicated_evidence", "p4_regime_cut", "j6_nearest_level", "w7_coprime_branches", "w17_spend_cap", "h1_gcd", "h3_ticket_rank", "a16_label_shuffle", "w3_poi_by_block", "w11_decayed_heat", "a30_seasonal_profile", "a32_candidate_score", "h4_hit_distribution", "h6_halton", "h7_tier_counts", "t4_match_cap", "s4_infer_roles", "s7_dates_in_words", "s8_remap_rows", "s10_prize_rows", "b2_unpopular_tickets", "b8_quasi_random", "e3_split_eras", "e8_policy_search", "e9_model_table"]
+FAST = ["a4_top_pairs", "a1_item_frequency", "a5_replicated_evidence", "p4_regime_cut", "j6_nearest_level", "w7_coprime_branches", "w17_spend_cap", "h1_gcd", "h3_ticket_rank", "a16_label_shuffle", "w3_poi_by_block", "w11_decayed_heat", "a30_seasonal_profile", "a32_candidate_score", "h4_hit_distribution", "h6_halton", "h7_tier_counts", "t4_match_cap", "s4_infer_roles", "s7_dates_in_words", "s8_remap_rows", "s10_prize_rows", "b2_unpopular_tickets", "b8_quasi_random", "e3_split_eras", "e8_policy_search", "e9_model_table", "b4_stationary_rank", "l1_intake", "l2_online_counters", "l3_settled"]
 
 
 def rows(values):
@@ -38,3 +38,14 @@ def test_entry_without_the_optional_part(spark):
 
     assert {*catalog.QUERIES} <= {*__spark_entry__.queries()}
     assert __spark_entry__.entry(spark).count() == 25
+
+
+def test_late_and_unsettled_records(spark):
+    from setloom.streaming import jobs
+
+    events = jobs.events_stream(spark, "/root/testdata/sf0.001")
+    assert events.isStreaming and jobs.intake(events, "event_id", "ts").isStreaming
+    records = events.select("user_id", events.event_id.alias("recorded_id"), events.ts.alias("recorded_at"))
+    results = events.select("user_id", events.event_id.alias("settled_id"), events.ts.alias("settled_at"), "value")
+    made = jobs.written(jobs.settled(records, results, "leftOuter"))
+    assert made.where("settled_id = recorded_id").count() == events.sparkSession.read.parquet("/root/testdata/sf0.001/events.parquet").count()
