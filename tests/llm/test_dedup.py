@@ -151,6 +151,31 @@ def test_passage_hidden_behind_another_group(spark):
     assert made == {16, 17, 18}
 
 
+def test_passages_behind_many_unrelated_first_documents(spark):
+    """A common line of 40 words in all documents: pairs that share it and ten words more are found however many stand before them."""
+    r = random.Random(3)
+    line, extra = prose(40, r), [prose(12, r) for _ in range(6)]
+    texts = [" ".join(prose(60, r) + line + prose(60, r)) for _ in range(12)]
+    first = len(texts)
+    for i, more in enumerate(extra):
+        for _ in range(2):  # words of their own on the other side
+            texts.append(" ".join(prose(60, r) + (more + line if i % 2 else line + more) + prose(60, r)))
+    made = {r.doc_id: r.passages for r in substring_dedup.repeated_passages(docs(spark, rows_of(texts)).repartition(4)).collect()}
+    assert {d: [p.source_id for p in x] for d, x in made.items()} == {first + 2 * i + 1: [first + 2 * i] for i in range(len(extra))}
+
+
+def test_passage_next_to_pieces_in_the_first_document(spark):
+    """The first document has pieces of a passage at several places, with little of it on either side; one hash function must do."""
+    r, texts, later = random.Random(4), [], set()
+    for _ in range(60):
+        passage = prose(54, r)
+        texts.append(" ".join(w for i in range(0, 54, 6) for w in prose(25, r) + passage[i : i + 10] + prose(25, r)))
+        texts += [" ".join(prose(60, r) + passage + prose(60, r)) for _ in range(2)]
+        later.add(len(texts) - 1)
+    made = {r.doc_id: {p.source_id for p in r.passages} for r in substring_dedup.repeated_passages(docs(spark, rows_of(texts)), hashes=1).collect()}
+    assert made == {d: {d - 1} for d in later}
+
+
 JSON = P.path("byte_bpe_50k.json")
 
 
