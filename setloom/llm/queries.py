@@ -52,7 +52,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", marked), (-1, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.write_formatted(turns.unionByName(extra)))
+    formatted = chat.write_formatted(turns.unionByName(extra))
+    return chat.digests(formatted, chat.write_examples(formatted))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

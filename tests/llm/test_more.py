@@ -88,6 +88,27 @@ def test_chat_round_trip(spark, monkeypatch):
     assert chat.digests(chat.write_formatted(df.limit(0))).count() == 0
 
 
+def test_chat_query_writes_an_example_per_reply(spark, sf_dir, monkeypatch):
+    written, write = [], chat.write_examples
+    monkeypatch.setattr(chat, "write_examples", lambda formatted: written.append((formatted, write(formatted))) or written[-1][1])
+    made = {r.conv_id: r.n_examples for r in queries.op8_chat_format(spark, sf_dir).collect()}
+    ((formatted, rows),) = written
+    turns = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/conversations.parquet").collect(), key=lambda r: (r.turn, r.role or "", r.text or "")):
+        turns.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))
+    replies = {c: [i for i, (role, _) in enumerate(t) if role == "assistant"] for c, t in turns.items()}
+    assert {c: n for c, n in made.items() if c != -1} == {c: len(x) for c, x in replies.items()}
+    parts = {}
+    for r in chat.context_parts(formatted, rows).orderBy("part").collect():
+        parts[r.conv_id, r.example] = parts.get((r.conv_id, r.example), "") + r.text
+    shown = lambda t: "".join(f"<|{chat.escape(a)}|>{chat.escape(b)}</s>" for a, b in t)
+    for r in rows.where("conv_id <> -1").collect():
+        at = replies[r.conv_id][r.example]
+        assert parts[r.conv_id, r.example] == shown(turns[r.conv_id][:at]) + "<|assistant|>"
+        assert chat.unescape(r.target) == turns[r.conv_id][at][1] and r.train_end - r.train_start == len(r.target)
+    assert rows.count() == sum(map(len, replies.values())) + 1
+
+
 def brute(ids, x, k):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
