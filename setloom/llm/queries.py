@@ -45,7 +45,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+    return token_counts.counts_of(token_counts.write_prefixes(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), limit=512)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

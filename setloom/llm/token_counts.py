@@ -5,7 +5,8 @@ between non-blank characters): the count at a boundary is the count at the one b
 match of the pattern crosses it. A prefix that ends inside a piece gets its count by the same recurrence over the
 piece's own bytes (see bpe.PrefixCounts), so any prefix, truncation or budget is answered exactly without encoding
 the text again: `count_at` and `longest_prefix` read one row and look into one piece. `every_prefix` gives the
-dense list. Null text counts as empty: 0 tokens. Texts with added tokens' strings or of other kinds of vocabulary
+dense list, and `write_prefixes` stores it for every text: one signed byte per code point, the change of the count from
+one prefix to the next. `counts_of` reads counts and cuts back from that table. Null text counts as empty: 0 tokens. Texts with added tokens' strings or of other kinds of vocabulary
 are one piece. Extra columns are not returned.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices, texts_of
+from .common import slices, stored, texts_of
 
 
 def boundary_counts(c: bpe.Bpe, text: str) -> tuple[list[int], list[int]]:
@@ -94,3 +95,37 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, keep_table: bool
 
     out = docs.select("doc_id", "text").mapInArrow(run, schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def write_prefixes(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_bytes, changes of all documents, written to the shared folder: the running sum of changes (signed bytes)
+    is the exact token count of each code-point prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = bpe.load_json(path)
+        for batch in slices(batches):
+            texts = texts_of(batch)
+            if c.exact_pattern:
+                made = [c.counts.changes(x) for x in texts]
+            else:  # other kinds of vocabulary: the library counts each prefix
+                made = [np.diff([0, *(len(c.encode(x[:i])) // c.dtype.itemsize for i in range(1, len(x) + 1))]).astype("i1").tobytes() for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "changes"])
+
+    return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, changes binary"), "prefixes")
+
+
+def counts_of(prefixes: DataFrame, limit: int = 512) -> DataFrame:
+    """Per document of a table of write_prefixes: doc_id, n_bytes, n_tokens, fit_chars (code points of the longest prefix that fits the limit), over_limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text="changes"):
+            tokens, fit = [], []
+            for raw in batch.column("changes").to_pylist():
+                counts = np.cumsum(np.frombuffer(raw, "i1"), dtype="i8")
+                inside = np.flatnonzero(counts <= limit)
+                tokens.append(int(counts[-1]) if len(counts) else 0)
+                fit.append(int(inside[-1]) + 1 if len(inside) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64()), pa.array(fit, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "fit_chars"])
+
+    out = prefixes.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fit_chars long")
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -80,6 +80,25 @@ def test_count_tokens(spark, library):
     assert token_counts.count_tokens(docs(spark, []), JSON).count() == 0
 
 
+def test_query_stores_the_count_of_every_prefix(spark, library, monkeypatch, tmp_path):
+    from setloom.llm import queries
+
+    texts = [*(x for x in odd_texts(60) if len(x) < 400), None, "many words and more " * 150]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    tables, write = [], token_counts.write_prefixes
+    monkeypatch.setattr(token_counts, "write_prefixes", lambda *x: tables.append(write(*x)) or tables[-1])
+    made = {r.doc_id: r for r in queries.op7_token_counts(spark, str(tmp_path)).collect()}
+    kept = {r.doc_id: np.cumsum(np.frombuffer(r.changes, "i1"), dtype="i8").tolist() for r in tables[0].collect()}
+    for i, text in enumerate(texts):
+        text = text or ""
+        exact = [len(ids_of(library, text[:n])) for n in range(len(text) + 1)]
+        assert kept[i] == exact[1:]
+        assert (made[i].n_bytes, made[i].n_tokens, made[i].over_limit) == (len(text.encode()), exact[-1], exact[-1] > 512)
+        assert made[i].fit_chars == max(n for n, count in enumerate(exact) if count <= 512)
+    small = {r.doc_id: r.fit_chars for r in token_counts.counts_of(tables[0], 3).collect()}
+    assert all(small[i] == max([0, *(n + 1 for n, count in enumerate(x) if count <= 3)]) for i, x in kept.items())
+
+
 def test_other_vocabulary_goes_to_the_library_whole(spark):
     path = P.path("word_bpe_49k.json")
     exact = Tokenizer.from_file(path)
