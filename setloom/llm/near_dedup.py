@@ -1,9 +1,9 @@
 """Operator 6, near-duplicate documents by ProbMinHash, banding and verification.
 
-A text is a set of five-word shingles with weight 1 + ln(occurrences). Each shingle is a Poisson process whose rate is
+A text is a set of five-word shingles, each with weight 1, as the links are verified on sets. Each shingle is a Poisson process whose rate is
 its weight: arrivals go to random registers, a register keeps the shingle that came first, and the process of a shingle
 ends as soon as it is later than every register. Registers of two texts agree with the probability-Jaccard similarity
-of their weighted sets. REGISTERS make BANDS of ROWS; texts that agree in a band are candidates; a candidate pair is a
+of their weighted sets, which at equal weights is the Jaccard similarity of the sets. REGISTERS make BANDS of ROWS; texts that agree in a band are candidates; a candidate pair is a
 link if its sets of shingles have a Jaccard similarity of at least 0.8, computed from the whole texts.
 
 Texts with the same words are one node. In a band's group each node is compared with the group's hub, the node with
@@ -122,10 +122,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bits.append(None)
                     maps.append(None)
                     continue
-                elements, counts = np.unique(words.shingles(h), return_counts=True)
+                elements = np.unique(words.shingles(h))
                 nodes.append(xxh3_128_digest(h.tobytes()))
                 sizes.append(len(elements))
-                owner = registers(elements, 1 + np.log(counts))
+                owner = registers(elements, np.ones(len(elements)))
                 made.append(bands(owner))
                 bits.append(sketch(owner))
                 maps.append(bitmap(elements))

@@ -70,6 +70,20 @@ def test_classes_equal_brute_force(spark):
     assert [made[i] for i in range(len(texts))] == classes_by_brute_force(texts)
 
 
+def test_classes_of_repeated_blocks(spark):
+    """A block that one text repeats and the other has once changes no set: such pairs are linked as well."""
+    r, texts = random.Random(6), []
+    while len(texts) < 80:
+        single, block = prose(60, r), prose(30, r)
+        other = list(single)
+        other[20] = other[40] = "zzz"
+        pair = [" ".join(single + block * 50), " ".join(other + block * 2)]
+        assert near_dedup.similarity_of(*pair) >= 0.8
+        texts += pair
+    made = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs(spark, rows_of(texts))).collect()}
+    assert [made[i] for i in range(len(texts))] == classes_by_brute_force(texts) == [i // 2 * 2 for i in range(len(texts))]
+
+
 def test_classes_odd_tables(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     odd = [(1, "a b c d e f", None, None, 1), (1, "a b c d e f", None, None, 1), (None, "a b c d e f", None, None, 1), (2, None, None, None, 1), (3, "A b c d e f", None, None, 1)]
