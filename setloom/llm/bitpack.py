@@ -80,7 +80,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: in
             state.update(first=state["first"] + len(ids), size=0, ids=[], docs=[])
             return out
 
-        for batch in slices(batches):
+        for batch in slices(batches, rows=4096):
             encoded = coder.encode_many(texts_of(batch))
             for part, doc, raw in zip(batch.column("_part").to_pylist(), batch.column("doc_id").to_pylist(), encoded):
                 n = len(raw) // coder.dtype.itemsize + 1

@@ -25,6 +25,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _RISKS = tuple(x for b in _BLANKS for x in dict.fromkeys((f" {b}", f"{b} ")))
+#: A text that begins or ends with a space or has one beside another blank is cut by _CUT, others at every space.
+_ODD = "^ | $|" + "|".join(f" [{x}]|[{x}] " for x in [_BLANKS])
 _ASCII_RISKS = tuple(x for x in _RISKS if x.isascii())
 
 
@@ -87,36 +89,70 @@ class Bpe:
             raw, step = ids.tobytes(), self.dtype.itemsize
             at = [*(starts * step).tolist(), len(raw)]
             self.known.update((p, raw[i:j]) for p, i, j in zip(joined, at, at[1:]))
-            pieces = set(pieces).difference(joined)
-        for p in pieces:
-            self.known[p] = self.whole(" " + p)
+            pieces = [*set(pieces).difference(joined)]
+        self.known.update(zip(pieces, self.wholes([" " + p for p in pieces])))
+
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as the library gives them, in one call."""
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, little-endian, self.dtype each."""
-        get, out, missing, cut = self.known.get, [], set(), {}
-        for i, text in enumerate(texts):
-            if not text:
-                out.append(b"")
-            elif not self.exact_pattern or any(x in text for x in self.added):
-                out.append(self.whole(text))
-            else:
-                head, *rest = pieces_of(text)
-                found = [*map(get, rest)]
-                if None in found:
-                    missing.update(p for p, x in zip(rest, found) if x is None)
-                    cut[i] = head, rest
-                    out.append(b"")
-                else:
-                    out.append(self.start(head) + b"".join(found))
-        if missing:
-            before = len(self.known)
-            self.learn([*missing])
-            if len(self.known) < before:  # the store was emptied: pieces found above are gone as well
-                self.learn([*{p for _, rest in cut.values() for p in rest}.difference(self.known)])
-            for i, (head, rest) in cut.items():
-                out[i] = self.start(head) + b"".join(map(self.known.__getitem__, rest))
+        """Ids of whole texts, little-endian, self.dtype each.
+
+        Pieces are split and told apart by Arrow, so a batch looks up each distinct piece once.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: list[bytes] = [b""] * len(texts)
+        if not self.exact_pattern:
+            for i, raw in enumerate(self.wholes(texts)):
+                out[i] = raw
+            return out
+        column = pa.array(texts, pa.large_string())
+        special = np.zeros(len(texts), bool)
+        for x in self.added:
+            special |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False) & ~special
+        whole = np.flatnonzero(special).tolist()
+        for i, raw in zip(whole, self.wholes([texts[i] for i in whole])):
+            out[i] = raw
+        full = np.fromiter(map(len, texts), "i8", len(texts)) > 0
+        for rows, lists in ((np.flatnonzero(full & ~odd & ~special), lambda x: pc.split_pattern(x, " ")), (np.flatnonzero(odd & full), lambda x: pa.array([_CUT.split(t) for t in x.to_pylist()], pa.large_list(pa.large_string())))):
+            if len(rows):
+                for i, raw in zip(rows.tolist(), self._joined(lists(column.take(pa.array(rows))))):
+                    out[i] = raw
         return out
 
+    def _joined(self, lists) -> list[bytes]:
+        """Ids of texts given as their pieces; the first piece of a text has no space before it."""
+        offsets = lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        told = lists.flatten().dictionary_encode()
+        index, distinct = told.indices.to_numpy().astype("i8"), told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = offsets[:-1]
+        first = [distinct[i] for i in index[heads].tolist()]
+        index[heads] = len(distinct) + np.arange(len(heads))
+        get = self.known.get
+        found = [*map(get, distinct)]
+        if None in found:
+            used = np.zeros(len(distinct) + len(heads), bool)
+            used[index] = True
+            new = [p for p, x, u in zip(distinct, found, used.tolist()) if x is None and u]
+            self.learn(new)
+            # what was found above holds also if the store was emptied; pieces that are only heads have no ids here
+            found = [self.known.get(p, b"") if x is None else x for p, x in zip(distinct, found)]
+        found += self.starts(first)
+        step = self.dtype.itemsize
+        size = np.fromiter(map(len, found), "i8", len(found)) // step
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        begin = np.cumsum(size) - size
+        many = size[index]
+        ends = np.cumsum(many)
+        raw = ids[np.repeat(begin[index] - (ends - many), many) + np.arange(ends[-1])].tobytes()
+        cuts = (np.concatenate(([0], ends))[offsets] * step).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
     def learn_counts(self, texts: list[str]) -> None:
         """Learn the pieces that a batch needs, in one call of the library."""
         pieces = {p for x in texts if x for p in pieces_of(x)[1:]}
@@ -137,14 +173,21 @@ class Bpe:
         step = self.dtype.itemsize
         return [len(self.start(head)) // step, *(n // step for n in map(len, map(self.known.__getitem__, rest)))]
 
-    def start(self, head: str) -> bytes:
-        found = self.first.get(head)
-        if found is None:
+    def starts(self, heads: list[str]) -> list[bytes]:
+        """Ids of texts' first pieces."""
+        found = [*map(self.first.get, heads)]
+        if None in found:
             if len(self.first) > MEMO // 8:
                 self.first.clear()
-            found = self.first[head] = self.whole(head)
+            new = [*dict.fromkeys(h for h, x in zip(heads, found) if x is None)]
+            made = dict(zip(new, self.wholes(new)))
+            self.first.update(made)
+            found = [made[h] if x is None else x for h, x in zip(heads, found)]
         return found
 
+    def start(self, head: str) -> bytes:
+        return self.starts([head])[0]
+
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 

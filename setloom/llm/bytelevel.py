@@ -70,7 +70,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         decimals = [*map(str, range(len(c.token_bytes)))]
-        for batch in slices(batches):
+        for batch in slices(batches, rows=4096):
             rows = []
             for raw in c.encode_many(texts_of(batch)):
                 ids = np.frombuffer(raw, c.dtype).tolist()
