@@ -1,17 +1,21 @@
 """Operator 10, lexical retrieval packing.
 
 Documents become ids plus an end id. Document frequencies, document count and mean length cover the whole table.
-Documents are ordered by their two heaviest terms, so lexically close ones meet, and dealt into ranges; runs of
+Documents are ordered by their heaviest terms (three of a 16-bit vocabulary), so lexically close ones meet, and dealt into ranges; runs of
 SHARD documents of a range are the shards of the BM25 inverted index, with the corpus-wide statistics. In a shard each
 window is filled from a seed document on: BM25 returns the seed's unused neighbours, best first, and they fill the
 window; the one that is cut continues the next window as its seed. What is left at a shard's end is cut into powers
 of two, which need no padding. Every id lies in one piece.
 
-Null and empty texts are the end id alone. Equal doc_ids are packed as separate documents. Empty tables give no rows.
+Null and empty texts are the end id alone. Equal doc_ids are packed as separate documents, null doc_ids as well. Empty
+tables give no rows. Of equal weights the smaller term counts, of equal scores the document that comes first in the
+shard. A document longer than a window fills several. A shard ends at SHARD_IDS ids, so very long texts make shards of
+few documents. Extra columns are not returned.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +31,8 @@ LENGTH = 1024
 SHARD = 512
 SHARD_IDS = 4 << 20
 K1, B = 1.2, 0.75
+#: Bits of a document's place in the order that its doc_id gives; the others are its heaviest terms.
+HASH = 15
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -38,7 +44,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], c.dtype).tobytes()
         size = c.tokenizer.get_vocab_size()
         df, n, total = np.zeros(size, "i8"), 0, 0
-        for batch in slices(batches):
+        for batch in slices(batches, rows=4096):
             made = [x + end for x in c.encode_many(texts_of(batch))]
             for raw in made:
                 ids = np.frombuffer(raw, c.dtype)
@@ -64,7 +70,12 @@ def corpus_sums(table: DataFrame) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    rows = table.where(F.col("sums").isNotNull()).select("sums").coalesce(8).mapInArrow(add, "sums binary").collect()
+    rows = table.where(F.col("sums").isNotNull()).select("sums")
+    n = rows.rdd.getNumPartitions()
+    while n > 8:  # a tree: each level adds the square root of as many
+        n = math.isqrt(n)
+        rows = rows.repartition(n).mapInArrow(add, "sums binary")
+    rows = rows.mapInArrow(add, "sums binary").collect()
     return sum(np.frombuffer(r["sums"], "i8") for r in rows) if rows else None
 
 
@@ -156,6 +167,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGT
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype("f4"))  # as long as the vocabulary
     mean = total / n
     kind = "<u2" if len(df) <= 1 << 16 else "<u4"
+    width = max(1, (len(df) - 1).bit_length())
+    heaviest = max(1, (63 - HASH) // width)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
@@ -164,13 +177,18 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGT
             for raw in batch.column("ids").to_pylist():
                 terms, tf = np.unique(np.frombuffer(raw, kind), return_counts=True)
                 w = weights[terms] * tf / (tf + K1)
-                best = terms[np.lexsort((terms, -w))[:2]].astype("i8")
-                made.append(int(best[0]) << 42 | int(best[-1]) << 22 | zlib.crc32(raw) & (1 << 22) - 1)
+                key = term = 0
+                for _ in range(heaviest):
+                    best = int(w.argmax())  # of equal weights the smaller term; of too few terms the last one again
+                    if w[best] >= 0:
+                        term, w[best] = int(terms[best]), -1
+                    key = key << width | term
+                made.append(key << HASH)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(made, pa.int64())], ["doc_id", "ids", "key"])
 
-    # the digest of doc_id, the last part of the order, splits groups of equal texts
+    # a hash of doc_id, the last bits of the order, splits groups of texts with the same heaviest terms
     keyed = table.where(F.col("ids").isNotNull()).select("doc_id", "ids").mapInArrow(keys, "doc_id long, ids binary, key long")
-    keyed = stored(keyed.withColumn("key", F.col("key").bitwiseAND(~0x3FFFFF).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(0x3FFFFF))), "keyed")
+    keyed = stored(keyed.withColumn("key", F.col("key").bitwiseOR(F.xxhash64("doc_id").bitwiseAND((1 << HASH) - 1))), "keyed")
     forget(table)
     bounds = range_bounds(keyed.select("key"), "key", shuffle_partitions(spark))
     dealt = keyed.withColumn("part", range_bucket(F.col("key"), bounds)).repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("part", "key", "doc_id", F.xxhash64("ids"))
