@@ -22,6 +22,8 @@ import numpy as np
 MEMO = 1_000_000
 #: Fixed value: the byte-level pretokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Marks that often follow a word.
+_STOPS = ",.;:!?"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _RISKS = tuple(x for b in _BLANKS for x in dict.fromkeys((f" {b}", f"{b} ")))
@@ -213,6 +215,11 @@ class Bpe:
         return np.concatenate(([0], np.cumsum([len(self.token_bytes[i]) for i in ids.tolist()], dtype="i8"))).astype("i8")
 
 
+def _steps(counts: list[int]) -> bytes:
+    """Changes from each count to the next, from 0 on, one signed byte each."""
+    return bytes([b - a & 255 for a, b in zip([0, *counts], counts)])
+
+
 class PrefixCounts:
     """Changes of the token count from one code-point prefix to the next, by dynamic programming."""
 
@@ -222,6 +229,7 @@ class PrefixCounts:
         self.longest = max(map(len, self.vocab))
         self.states: dict[str, tuple[str, int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.tails: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def valid(self, a: str, b: str) -> bool:
@@ -240,10 +248,11 @@ class PrefixCounts:
         if short and len(states) > 2 * MEMO:
             states.clear()
         last, count = [""], [0]
+        longest = self.longest
         for end in range(1, len(s) + 1):
             state = states.get(s[:end]) if short else None
             if state is None:
-                for start in range(max(0, end - self.longest), end):
+                for start in range(end - longest if end > longest else 0, end):
                     token = s[start:end]
                     if token in vocab:
                         before = last[start]
@@ -263,14 +272,14 @@ class PrefixCounts:
         """Changes for a text or piece without added tokens, one signed byte per code point."""
         out: list[int] = []
         base = 0
-        if text[:1] == " " and not any(x.isspace() for x in text[1:]):
-            for match in self.bpe.find(text):
+        if text[:1] == " " and text[1:].split() == [text[1:]]:
+            for match in [text] if text[1:].isalpha() else self.bpe.find(text):
                 at = self.match(match)
                 if match in ("'re", "'ve", "'ll"):
                     at[1] = self.match("'")[-1] + self.match(match[1])[-1]
                 out += [base + c for c in at] if base else at
                 base += at[-1]
-            return np.diff(np.array(out, "i8"), prepend=0).astype("i1", casting="unsafe").tobytes()
+            return _steps(out)
         for run in re.finditer(r"([\t-\r \x85\xa0  -     　]*)([^\t-\r \x85\xa0  -     　]*)", text):
             blank, word = run.groups()
             if blank:
@@ -290,7 +299,23 @@ class PrefixCounts:
                     lead = ""
             elif blank:
                 base = out[-1]
-        return np.diff(np.array(out, "i8"), prepend=0).astype("i1", casting="unsafe").tobytes() if out else b""
+        return _steps(out)
+
+    def piece(self, p: str) -> bytes:
+        """Changes of a piece and the space before it; marks after letters are a match of their own."""
+        word = p.rstrip(_STOPS)
+        if len(word) == len(p) or not word.isalpha():
+            return self.plain(" " + p)
+        found = self.known.get(word)
+        if found is None:
+            found = self.known[word] = self.plain(" " + word)
+        mark = p[len(word) :]
+        tail = self.tails.get(mark)
+        if tail is None:
+            if len(self.tails) > MEMO // 8:
+                self.tails.clear()
+            tail = self.tails[mark] = _steps(self.match(mark))
+        return found + tail
 
     def changes(self, text: str) -> bytes:
         """Changes over a whole text: the running sum at i is the token count of the first i + 1 code points."""
@@ -317,7 +342,7 @@ class PrefixCounts:
                     p = rest[i]
                     x = known.get(p)
                     if x is None:
-                        x = known[p] = self.plain(" " + p)
+                        x = known[p] = self.piece(p)
                     found[i] = x
         return self.plain(head) + b"".join(found)
 
