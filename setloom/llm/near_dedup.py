@@ -14,7 +14,9 @@ taken for such with a chance of about one in a million). Classes are connected c
 
 Every row of the input gives one row: doc_id, class_id (smallest doc_id of its class), n_shingles. Null, empty and
 wordless texts are classes of their own. Texts of fewer than five words have one shingle. Ties and repeated rows share
-their text's class.
+their text's class; rows of one doc_id with several texts are classed text by text, as are rows with a null doc_id, whose
+class_id is the smallest doc_id that is not null, or null. Texts of any length are taken whole. An empty table gives no
+rows. Extra columns are not returned by near_duplicates, and kept by deduplicated.
 """
 
 from __future__ import annotations
@@ -83,6 +85,8 @@ def sketch(owner: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view("i8")
 
 
+#: Nodes of a band that meet those of another block in one group.
+BLOCK = 512
 #: 64-bit words of the bitmap of a text's shingles.
 WORDS = 16
 
@@ -105,7 +109,7 @@ def possible(x: str, y: str, similarity: float) -> F.Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (16-byte digest of the words; null without words), n (distinct shingles), bands, sketch, bitmap."""
+    """doc_id, copy (hash of the text), node (16-byte digest of the words; null without words), n (distinct shingles), bands, sketch, bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -129,18 +133,21 @@ def signatures(docs: DataFrame) -> DataFrame:
                 made.append(bands(owner))
                 bits.append(sketch(owner))
                 maps.append(bitmap(elements))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands", "sketch", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("copy"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "copy", "node", "n", "bands", "sketch", "bitmap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n long, bands array<long>, sketch array<long>, bitmap array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, copy long, node binary, n long, bands array<long>, sketch array<long>, bitmap array<long>")
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the nodes in wanted(node, doc_id): the text is moved once, by doc_id."""
-    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
+    """node, text of the nodes in wanted(node, doc_id, copy): one row each, as rows with one doc_id are told apart by their texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+    named = wanted.select("node", F.col("doc_id").alias("of"), "copy")
+    met = rows.join(named, ["copy"]).where(F.col("doc_id").eqNullSafe(F.col("of")))
+    return met.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough; texts(node, text) may hold other texts of a repeated doc_id."""
+    """The pairs (a, b) whose shingle sets are similar enough."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -176,18 +183,18 @@ def _sized(x: str, y: str, similarity: float) -> F.Column:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "bands", "sketch", "bitmap")).alias("s")).select("node", "s.doc_id", "s.n", "s.bands", "s.sketch", "s.bitmap")
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy", "n", "bands", "sketch", "bitmap")).alias("s")).select("node", "s.doc_id", "s.copy", "s.n", "s.bands", "s.sketch", "s.bitmap")
     nodes = stored(nodes, "nodes")
-    members = nodes.select("node", "doc_id", "n", F.posexplode("bands").alias("place", "band"))
+    members = nodes.select("node", "doc_id", "copy", "n", F.posexplode("bands").alias("place", "band"))
     groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     grouped = stored(members.join(groups, "band"), "grouped")
     # the text that most others came from is in most of their groups: it is the hub there, and near copies link to it
     degrees = grouped.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = grouped.join(degrees, "node")
     hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
-    shared = stored(grouped.join(hubs, "band").select("band", "place", "node", "n", "doc_id", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    shared = stored(grouped.join(hubs, "band").select("band", "place", "node", "n", "doc_id", "copy", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
     forget(grouped)
-    wanted = shared.select("node", "doc_id").distinct()
+    wanted = shared.select("node", "doc_id", "copy").distinct()
     texts = stored(candidate_texts(docs, wanted), "texts")
     stars = shared.where((F.col("node") != F.col("hub")) & _sized("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     edges = stored(links(stars, texts, similarity), "links")
@@ -199,9 +206,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     before, filled = F.slice("bands", 1, F.col("place")).alias("before"), F.aggregate("bitmap", F.lit(0), lambda a, b: a + F.bit_count(b)).alias("filled")
     rest = placed.join(split, "band").join(nodes.select("node", "bands", "sketch", "bitmap"), "node")
     rest = stored(rest.select("band", "node", "n", "hub", "label", "sketch", "bitmap", filled, before), "open")
-    x, y = rest.alias("x"), rest.alias("y")
+    # a large band is dealt into blocks, and each block of x meets each block of y in a group of its own
+    blocks = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = dealt.alias("x"), dealt.alias("y")
     apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(-(-REGISTERS // 64))), F.lit(0))
-    cheap = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.node") != F.col("y.hub")) & (F.col("x.hub") != F.col("y.node"))
+    cheap = (F.col("x.band") == F.col("y.band")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.node") != F.col("y.hub")) & (F.col("x.hub") != F.col("y.node"))
     across = x.join(y, cheap & _sized("x.n", "y.n", similarity) & (apart <= DIFFERENT) & possible("x", "y", similarity) & ~F.arrays_overlap("x.before", "y.before"))
     across = stored(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "across")
     more = stored(links(across, texts, similarity), "links")

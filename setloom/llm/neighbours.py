@@ -8,7 +8,10 @@ arrays; those are verified with exact inner products. The last window is unbound
 
 Queries and candidates are dealt into blocks of bounded size and each query block meets each candidate block in a task
 of its own; the best of each are merged. Vectors that are null, empty, zero or hold null or non-finite components take
-no part; vectors of different lengths never meet. Ties go to the smaller vec_id.
+no part; vectors of different lengths never meet. Ties go to the smaller vec_id. Rows that share a vec_id and a vector
+are one; rows that share a vec_id and differ are queries and candidates each, and `query` tells their lists apart: a row
+is no candidate of its own query only. An empty table gives no rows, a query with no other vector none. Extra columns are
+not returned.
 """
 
 from __future__ import annotations
@@ -36,9 +39,9 @@ def usable(vector: str) -> Column:
 class Index:
     """Sorted projection arrays of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
+        self.ids, self.rows, self.x = ids[order], rows[order], np.ascontiguousarray(x[order])
         squares = np.einsum("ij,ij->i", self.x, self.x)
         self.longest = float(np.sqrt(squares.max()))
         rng = np.random.default_rng(x.shape[1])
@@ -58,8 +61,8 @@ class Index:
         inside[high - low > np.iinfo(kind).max] = True
         return np.add.reduce(inside.view("u1"), axis=0, dtype="u1")  # at most 255 projections
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """query_id, vec_id and exact inner product of the k best verified of each query, unordered."""
+    def search(self, query_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query row, vec_id and exact inner product of the k best verified of each query, unordered."""
         n = len(self.ids)
         enough = min(n, k + 1 + int(VERIFIED * n))
         need = int(np.ceil(COLLISIONS * PROJECTIONS))
@@ -83,7 +86,7 @@ class Index:
                     step += 1
                     near = hit(step)
             found = np.flatnonzero(near)
-            found = found[self.ids[found] != query_ids[i]]
+            found = found[self.rows[found] != query_rows[i]]
             rough = self.rough[found] @ q[i].astype("f4")
             if len(found) > k:
                 least = np.partition(rough, len(found) - k)[len(found) - k]
@@ -91,7 +94,7 @@ class Index:
                 found = found[rough >= least - slack]
             exact = (self.x[found] * q[i]).sum(1)
             best = np.lexsort((self.ids[found], -exact))[:k]
-            out.append((np.full(len(best), query_ids[i]), self.ids[found[best]], exact[best]))
+            out.append((np.full(len(best), query_rows[i]), self.ids[found[best]], exact[best]))
         a, b, c = zip(*out)
         return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
@@ -99,23 +102,28 @@ class Index:
 def search(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of vectors(vec_id, embedding) to each row where is_query holds."""
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
+    good = good.withColumn("row", F.xxhash64("vec_id", "v"))
+    if good.groupBy("vec_id").count().where("count > 1").limit(1).count():
+        good = good.dropDuplicates(["row"])
     sizes = good.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     c, d = max(1, -(-sizes["n"] // block)), max(1, -(-sizes["q"] // queries))
-    dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    offered = good.select("vec_id", "v", F.size("v").alias("dim"), F.lit(False).alias("asks"), dealt(c, "block").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("d"))
-    asked = good.where("asks").select("vec_id", "v", F.size("v").alias("dim"), "asks", F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("c"), dealt(d, "query").alias("d"))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
+    offered = good.select("vec_id", "row", "v", F.size("v").alias("dim"), F.lit(False).alias("asks"), dealt(c, "block").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("d"))
+    asked = good.where("asks").select("vec_id", "row", "v", F.size("v").alias("dim"), "asks", F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("c"), dealt(d, "query").alias("d"))
 
     def run(rows: pa.Table) -> pa.Table:
         dim = rows.column("dim")[0].as_py()
-        ids = rows.column("vec_id").to_numpy()
+        ids, own = rows.column("vec_id").to_numpy(), rows.column("row").to_numpy()
         x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         asks = rows.column("asks").to_numpy()
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not asks.any() or asks.all():
             return schema.empty_table()
-        found = Index(ids[~asks], x[~asks]).search(ids[asks], x[asks], k)
-        return pa.table([*map(pa.array, found)], schema=schema)
-
-    near = offered.unionByName(asked).groupBy("dim", "c", "d").applyInArrow(run, "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        query, vec_id, score = Index(ids[~asks], x[~asks], own[~asks]).search(own[asks], x[asks], k)
+        order = np.argsort(own[asks])
+        query_id = ids[asks][order[np.searchsorted(own[asks][order], query)]]
+        return pa.table([*map(pa.array, (query_id, query, vec_id, score))], schema=schema)
+
+    near = offered.unionByName(asked).groupBy("dim", "c", "d").applyInArrow(run, "query_id long, query long, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query")

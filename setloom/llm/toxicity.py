@@ -5,7 +5,9 @@ pi * R+(positive) + max(0, R-(unlabelled) - pi * R-(positive)) with logistic los
 second part falls below zero its gradient is reversed, as the non-negative estimator prescribes. The model is fitted
 with numpy on the driver from a bounded sample (POSITIVES and UNLABELLED rows at most, chosen by hash); class prior
 and scores cover all rows. Texts are scored whole. Null and empty texts get the score of the intercept. With no
-positive row every score is 0. Features come from the text alone.
+positive row every score is 0. Features come from the text alone. A doc_id with several labels is toxic if one says so;
+rows that share a doc_id are scored each by its own text, equal texts alike. Rows with a null doc_id are scored and never
+learned from. An empty table gives no rows. Extra columns are not returned by score, and kept by clean.
 """
 
 from __future__ import annotations
@@ -144,11 +146,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
     total = texts.select("doc_id").count()
 
-    def share(bound: int, count: int) -> Column:
-        return F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, bound / max(count, 1)) * (1 << 30))
+    def share(bound: int, count: int, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, bound / max(count, 1)) * (1 << 30))
 
-    def rows(df: DataFrame, wanted: np.ndarray | None = None) -> Rows:
-        """Features of the sampled texts, those in `wanted` only where given, as one array."""
+    def rows(df: DataFrame, bound: int, wanted: np.ndarray | None = None) -> Rows:
+        """Features of the sampled texts, a twentieth more than `bound` at most, those in `wanted` only where given, as one array."""
 
         def among(f: np.ndarray) -> np.ndarray:
             if not len(wanted):
@@ -162,16 +164,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 found = [np.sort(f if wanted is None else f[among(f)]).tobytes() for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["found"])
 
-        made = [np.frombuffer(x.as_py(), "u4") for x in df.select("text").mapInArrow(run, "found binary").toArrow().column("found")]
+        made = [np.frombuffer(x.as_py(), "u4") for x in df.select("text").mapInArrow(run, "found binary").limit(bound + bound // 20).toArrow().column("found")]
         return Rows(np.array([len(x) for x in made], "i8"), np.concatenate([*made, np.zeros(0, "u4")]))
 
-    positive = toxic.where((F.col("toxic") == 1) & share(POSITIVES, int(counts["pos"]))).select("doc_id")
+    positive = toxic.where((F.col("toxic") == 1) & share(POSITIVES, int(counts["pos"]), "doc_id")).select("doc_id")
     prior = counts["pos"] / counts["n"]
-    # a share of the distinct positive ids by hash, about POSITIVES of them at any size, so they can be broadcast and no text is shuffled
-    known = rows(texts.join(F.broadcast(positive), "doc_id", "left_semi"))
+    # a share of the distinct positive ids by hash, about POSITIVES of them at any size, so they can be broadcast and no
+    # text is shuffled; rows are counted too, so an id with very many of them brings no more to the driver
+    known = rows(texts.join(F.broadcast(positive.limit(POSITIVES + POSITIVES // 20)), "doc_id", "left_semi"), POSITIVES)
     names, often = np.unique(known.values, return_counts=True)
     # features of fewer positive texts get no weight, so nothing is asked about them
-    return fit(known, rows(texts.where(share(UNLABELLED, total)), names[often >= LEAST_DOCS]), min(prior, 0.99))
+    return fit(known, rows(texts.where(share(UNLABELLED, total, "doc_id", "text")), UNLABELLED, names[often >= LEAST_DOCS]), min(prior, 0.99))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -246,3 +246,68 @@ def test_bitmap_bound_keeps_every_similar_pair(spark):
     made = spark.createDataFrame(rows, f"x {kind}, y {kind}, similarity double").select("similarity", near_dedup.possible("x", "y", 0.8).alias("possible")).collect()
     assert all(r.possible for r in made if r.similarity >= 0.8)
     assert not all(r.possible for r in made)
+
+
+@pytest.mark.parametrize("m", [1, 2, 4, 6])
+def test_passage_behind_its_pieces_in_many_documents(spark, m):
+    """m copies of 20 earlier documents with up to 20 words of a passage of 60 words hide none of the later ones that hold it whole."""
+    r = random.Random(8)
+    passage = prose(60, r)
+    texts = [" ".join(prose(40, r) + passage[3 * (i % 14) : 3 * (i % 14) + 20] + prose(40, r)) for i in range(20) for _ in range(m)]
+    n = len(texts)
+    texts += [" ".join(prose(50, r) + passage + prose(50, r)) for _ in range(3)]
+    made = {r.doc_id: {p.source_id for p in r.passages} for r in substring_dedup.repeated_passages(docs(spark, rows_of(texts))).collect()}
+    assert made == {n + 1: {n}, n + 2: {n}}
+
+
+def passages_by_brute_force(texts):
+    """Documents with LENGTH words that share SHARED shingles with some LENGTH words (give or take SHIFT) of an earlier one."""
+    memo, out = words.WordHashes(), set()
+    tokens = [words.shingles(words.hashes(t or "", memo)).tolist() for t in texts]
+    wide = substring_dedup.TOKENS
+    for j, y in enumerate(tokens):
+        for x in tokens[:j]:
+            for i in range(len(y) - wide + 1):
+                part = y[i : i + wide]
+                if len({*part} & {*x}) >= substring_dedup.SHARED and any(len({*part} & {*x[k : k + wide]}) >= substring_dedup.SHARED for k in range(len(x) - wide + 1)):
+                    out.add(j)
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    """Exact and edited passages of 45 to 70 words, of which others hold parts, in texts with words of their own."""
+    r, texts = random.Random(12), []
+    shared = [prose(r.randrange(45, 70), r) for _ in range(8)]
+    for _ in range(70):
+        body = []
+        for _ in range(r.randrange(1, 3)):
+            p = list(r.choice(shared))
+            kind = r.randrange(4)
+            if kind == 1:
+                p[r.randrange(len(p))] = r.choice(VOCABULARY)
+            elif kind == 2:
+                p = p[r.randrange(20) :]
+            elif kind == 3:
+                p.insert(r.randrange(len(p)), "zzz")
+            body += prose(r.randrange(10, 40), r) + p
+        texts.append(" ".join(body + prose(10, r)))
+    made = {r.doc_id for r in substring_dedup.repeated_passages(docs(spark, rows_of(texts)).repartition(4)).collect()}
+    assert made == passages_by_brute_force(texts)
+
+
+def test_passages_odd_tables(spark):
+    """Repeated rows, rows that share a doc_id, null doc_ids and columns with clashing names: every row stays, once."""
+    whole, other = " ".join(prose(80)), " ".join(prose(90))
+    rows = [(1, whole), (2, whole), (2, whole), (2, other), (None, whole), (None, whole), (3, other), (4, None), (5, "")]
+    frame = spark.createDataFrame([(*r, i, "c", "p") for i, r in enumerate(rows)], "doc_id long, text string, place long, copy string, ranges string")
+    kept = {r.place: r for r in substring_dedup.without_passages(frame).collect()}
+    assert [kept[i].text for i in range(len(rows))] == [whole, "", "", other, whole, whole, "", None, ""]
+    assert all((r.copy, r.ranges) == ("c", "p") for r in kept.values()) and len(kept) == len(rows)
+    assert {(r.doc_id, r.passages[0].source_id) for r in substring_dedup.repeated_passages(frame).collect()} == {(2, 1), (3, 2)}
+
+
+def test_many_rows_with_a_null_id(spark):
+    base = prose(60)
+    rows = [(None, " ".join(edited(base, 1)) + f" n{i}", "en", "s", 0) for i in range(1500)]
+    made = near_dedup.near_duplicates(docs(spark, rows + [(7, " ".join(base), "en", "s", 0)]))
+    assert made.count() == 1501 and made.where("class_id = 7").count() > 1300

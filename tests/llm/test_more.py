@@ -139,3 +139,12 @@ def test_neighbours_odd_vectors(spark):
 def test_queries_run(spark, sf_dir):
     for name in ("op2_fingerprints", "op8_chat_format", "op9_neighbours"):
         assert queries.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_neighbours_of_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (3, [0.5, 0.0])]
+    made = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=2).collect()
+    lists = {}
+    for r in sorted(made, key=lambda r: r["rank"]):
+        lists.setdefault(r["query"], []).append((r.vec_id, r.score))
+    assert sorted(lists.values()) == [[(1, 1.0), (3, 0.5)], [(1, 2.0), (0, 0.0)]]
