@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from setloom.operators import ranking
 from setloom.plans import draws, more
-from setloom.plans.dialect import Duck, Spark, doubles
+from setloom.plans.views import DRAWS
+from setloom.plans.dialect import Duck, Spark
 from setloom.streaming import jobs
 
 FLAGSHIP = "a4_top_pairs"
@@ -17,9 +19,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = doubles(more.SQL[name](Spark()))
+        text = Spark().written(more.SQL[name](Spark()))
+        if DRAWS in text:
+            draws.draws(spark, sf_dir).createOrReplaceTempView("setloom_draws")
+            text = text.replace(DRAWS, "draws as (select * from setloom_draws)")
         for t in TABLES:
-            if t in text:
+            if re.search(rf"\b{t}\b", text):
                 draws.table(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(text)
 
@@ -27,4 +32,4 @@ def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **ranking.QUERIES, **jobs.QUERIES, **{n: planned(n) for n in more.SQL}}
-ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **ranking.ORACLE_SQL, **jobs.ORACLE_SQL, **{n: doubles(f(Duck())) for n, f in more.SQL.items()}}
+ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **ranking.ORACLE_SQL, **jobs.ORACLE_SQL, **{n: Duck().written(f(Duck())) for n, f in more.SQL.items()}}

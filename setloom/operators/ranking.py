@@ -48,7 +48,7 @@ def b4_stationary_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of the 50 items of each game, and how far the ranks are from uniform (total variation)."""
     for t in ("orders", "lineitem"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-    edges = spark.sql(doubles(with_(DRAWS, LONG, PAIRS, COUNTS, EDGES) + "select game, src, dst, share from edges"))
+    edges = spark.sql(Spark().written(with_(DRAWS, LONG, PAIRS, COUNTS, EDGES) + "select game, src, dst, share from edges"))
     nodes = spark.sql(doubles(with_(domain(Spark())) + "select distinct o_orderpriority as game, item from orders cross join domain"))
     rank = stationary(edges, nodes)
     far = F.sum(F.abs(F.col("rank") - 1.0 / 50)).over(Window.partitionBy("game")) / 2
@@ -63,7 +63,7 @@ def _oracle() -> str:
         parts.append(f"f{i} as materialized (select e.game, e.dst as item, sum(e.share * r) as flow from fixed e join r{i - 1} x on x.game = e.game and x.item = e.src group by e.game, e.dst)")
         parts.append(f"h{i} as materialized (select n.game, n.item, coalesce(flow, 0.0) as flow from nodes n left join f{i} f on f.game = n.game and f.item = n.item)")
         parts.append(f"r{i} as materialized (select game, item, {1 - DAMPING:.2f} / 50 + {DAMPING} * (flow + (1.0 - sum(flow) over (partition by game)) / 50) as r from h{i})")
-    return doubles(with_(*parts) + f"select game, item, round(r, 9) as rank, round(sum(abs(r - 1.0 / 50)) over (partition by game) / 2, 8) as distance from r{ROUNDS}")
+    return Duck().written(with_(*parts) + f"select game, item, round(r, 9) as rank, round(sum(abs(r - 1.0 / 50)) over (partition by game) / 2, 8) as distance from r{ROUNDS}")
 
 
 QUERIES = {"b4_stationary_rank": b4_stationary_rank}

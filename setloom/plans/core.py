@@ -86,7 +86,7 @@ def p9_calendar(d):
 
 @plan
 def p10_fourier(d):
-    terms = ", ".join(f"round({f}(2 * pi() * {h} * weekofyear(draw_date) / 52), 6) as {f}{h}" for h in (1, 2) for f in ("sin", "cos"))
+    terms = ", ".join(f"round({f}(2 * pi() * {h} * weekofyear(draw_date) / 52), 6) + 0.0 as {f}{h}" for h in (1, 2) for f in ("sin", "cos"))
     return with_(DRAWS) + f"select game, t, {terms} from draws"
 
 
@@ -146,7 +146,7 @@ def j6_nearest_level(d):
 
 @plan
 def j7_prizes(d):
-    return with_(domain(d, high=6)) + ", grid as (select k.item - 1 as km, s.item - 1 as ks from domain k cross join domain s where s.item <= 3), prizes as (select cast(p_size % 6 as int) as km, cast(p_partkey % 3 as int) as ks, max(p_retailprice) as prize from part where p_size > 45 group by p_size % 6, p_partkey % 3) select g.km, g.ks, coalesce(prize, 0.0) as prize, prize is not null as known from grid g left join prizes p on p.km = g.km and p.ks = g.ks"
+    return with_(domain(d, high=6)) + ", grid as (select k.item - 1 as km, s.item - 1 as ks from domain k cross join domain s where s.item <= 3), prizes as (select cast(p_size % 6 as int) as km, cast(p_partkey % 3 as int) as ks, max(p_retailprice) as prize from part group by p_size % 6, p_partkey % 3) select g.km, g.ks, coalesce(prize, 0.0) as prize, prize is not null as known from grid g left join prizes p on p.km = g.km and p.ks = g.ks"
 
 
 @plan
@@ -171,7 +171,8 @@ def j11_align_series(d):
 
 @plan
 def j12_overlap(d):
-    return with_(tickets(d)) + ", subset as (select ticket_id, item, ticket_id % 97 as book from tickets) select x.book, cast(count(*) as bigint) as shared_items from subset x join subset y on x.book = y.book and x.ticket_id < y.ticket_id and x.item = y.item group by x.book"
+    """Pairs of tickets of a book that share an item, over all items: counted from how often each item occurs, not paired."""
+    return with_(tickets(d)) + "select book, cast(sum(n * (n - 1) / 2) as bigint) as shared_items from (select ticket_id % 97 as book, item, count(*) as n from tickets group by ticket_id % 97, item) as x group by book having sum(n * (n - 1) / 2) > 0"
 
 
 # Aggregates
@@ -243,7 +244,8 @@ def a11_normalised_rates(d):
 
 
 def _settled(d):
-    return with_(DRAWS, LONG, tickets(d)) + """, asked as (select ticket_id, item, game, draw_id from tickets k join draws x on x.t = k.ticket_id % 400 + 1),
+    return with_(DRAWS, LONG, tickets(d)) + """, sizes as (select game, count(*) as n from draws group by game), entered as (select ticket_id, item, game, n from tickets cross join sizes),
+asked as (select k.ticket_id, k.item, x.game, x.draw_id from entered k join draws x on x.game = k.game and x.t = k.ticket_id % k.n + 1),
 hits as (select a.ticket_id, a.game, a.draw_id, count(l.item) as hits from asked a left join long l on l.draw_id = a.draw_id and l.item = a.item group by a.ticket_id, a.game, a.draw_id)"""
 
 
@@ -254,7 +256,9 @@ def a12_settlement_summary(d):
 
 @plan
 def a13_result_rows(d):
-    return _settled(d) + ", paid as (select game, draw_id, ticket_id % 2 as control, sum(case hits when 5 then 1000.0 when 4 then 100.0 when 3 then 10.0 else 0.0 end) as prize, count(*) * 2.5 as stake from hits group by game, draw_id, ticket_id % 2) select m.game, m.draw_id, round(m.prize, 4) as prize, round(m.stake, 4) as stake, round(m.prize - m.stake, 4) as net, round((m.prize - m.stake) - (c.prize - c.stake), 4) as lift from paid m join paid c on c.game = m.game and c.draw_id = m.draw_id and c.control = 1 where m.control = 0"
+    """Prizes and net of a draw's own tickets and of its controls, which a hash of the ticket tells apart."""
+    arm = f"cast(floor({d.u('cast(ticket_id as varchar(20))')} * 2) as int)"
+    return _settled(d) + ", paid as (select game, draw_id, control, sum(prize) as prize, sum(stake) as stake from (select game, draw_id, ARM as control, sum(case hits when 5 then 1000.0 when 4 then 100.0 when 3 then 10.0 else 0.0 end) as prize, count(*) * 2.5 as stake from hits group by game, draw_id, ARM) as x group by game, draw_id, control) select m.game, m.draw_id, round(m.prize, 4) as prize, round(m.stake, 4) as stake, round(m.prize - m.stake, 4) as net, round((m.prize - m.stake) - (c.prize - c.stake), 4) as lift from paid m join paid c on c.game = m.game and c.draw_id = m.draw_id and c.control = 1 where m.control = 0".replace("ARM", arm)
 
 
 @plan
@@ -281,9 +285,9 @@ select s.game, cast(sum(case when abs(m.diff) >= abs(s.diff) - 1e-12 then 1 else
 
 @plan
 def a17_within_step_null(d):
-    return with_(DRAWS, LONG, domain(d)) + f""", trials as (select cast(v as int) as trial from (select {d.seq('1', '10')} as v) as s), steps as (select game, t from draws where t <= 50),
-dealt as (select game, t, trial, item, row_number() over (partition by game, t, trial order by {d.u("concat(cast(trial as varchar(9)), ':', cast(t as varchar(9)), ':', cast(item as varchar(9)), game)")}, item) as r from steps cross join trials cross join domain)
-select x.game, x.trial, round(count(l.item) / 50.0, 6) as mean_hits from dealt x left join long l on l.game = x.game and l.t = x.t and l.item = x.item where r <= 5 group by x.game, x.trial"""
+    return with_(DRAWS, LONG, domain(d)) + f""", trials as (select cast(v as int) as trial from (select {d.seq('1', '10')} as v) as s), steps as (select game, t, count(*) over (partition by game) as n from draws),
+dealt as (select game, t, n, trial, item, row_number() over (partition by game, t, trial order by {d.u("concat(cast(trial as varchar(9)), ':', cast(t as varchar(9)), ':', cast(item as varchar(9)), game)")}, item) as r from steps cross join trials cross join domain)
+select x.game, x.trial, round(count(l.item) * 1.0 / max(x.n), 6) as mean_hits from dealt x left join long l on l.game = x.game and l.t = x.t and l.item = x.item where r <= 5 group by x.game, x.trial"""
 
 
 @plan
@@ -327,8 +331,8 @@ def a24_method_ranking(d):
 
 @plan
 def a25_dataset_digest(d):
-    row = "concat(cast(draw_id as varchar(20)), '|', cast(b1 as varchar(9)), '|', cast(b5 as varchar(9)))"
-    return with_(DRAWS) + f"select game, cast(count(*) as bigint) as n, min(draw_date) as first_date, max(draw_date) as last_date, round(sum({d.u(row)}), 6) as digest, cast({d.days('max(draw_date)', 'min(draw_date)')} as bigint) as days from draws group by game"
+    row = "concat_ws('|', draw_id, draw_date, b1, b2, b3, b4, b5, s1, s2)"
+    return with_(DRAWS) + f"select game, cast(count(*) as bigint) as n, min(draw_date) as first_date, max(draw_date) as last_date, cast(sum(cast({d.u(row)} * 4503599627370496.0 as bigint)) as varchar(40)) as digest, cast({d.days('max(draw_date)', 'min(draw_date)')} as bigint) as days from draws group by game"
 
 
 @plan
@@ -403,19 +407,19 @@ def w8_lagged_frame(d):
 
 @plan
 def w9_frequency_z(d):
-    panel = ", panel as (select x.game, x.t, m.item, case when l.item is null then 0 else 1 end as y from draws x cross join domain m left join long l on l.game = x.game and l.t = x.t and l.item = m.item where x.t <= 300)"
+    panel = ", panel as (select x.game, x.t, m.item, case when l.item is null then 0 else 1 end as y from draws x cross join domain m left join long l on l.game = x.game and l.t = x.t and l.item = m.item)"
     return with_(DRAWS, LONG, domain(d)) + panel + ", f as (select game, t, item, coalesce(sum(y) over (partition by game, item order by t rows between 50 preceding and 1 preceding), 0) as n50 from panel), s as (select game, t, avg(n50) as m, stddev_pop(n50) as sd from f group by game, t) select f.game, f.t, item, round(case when sd > 0 then (n50 - m) / sd else 0 end, 6) as z50 from f join s on s.game = f.game and s.t = f.t"
 
 
 @plan
 def w10_recency(d):
-    return with_(DRAWS, LONG) + "select game, item, t, cast(least(1000, t - lag(t) over (partition by game, item order by t)) as bigint) as gap, round(avg(t - 0.0) over (partition by game, item order by t rows between unbounded preceding and 1 preceding), 6) as mean_t from long"
+    return with_(DRAWS, LONG) + "select game, item, t, cast(least(1000, t - lag(t) over (partition by game, item order by t)) as bigint) as gap, round((lag(t) over (partition by game, item order by t) - first_value(t) over (partition by game, item order by t)) * 1.0 / nullif(row_number() over (partition by game, item order by t) - 2, 0), 6) as mean_gap from long"
 
 
 @plan
 def w12_item_features(d):
     primes = ", ".join(str(p) for p in range(2, 51) if all(p % q for q in range(2, p)))
-    return with_(domain(d)) + f"select item, item in ({primes}) as prime, item % 2 as parity, cast({d.div('item', '10')} + item % 10 as int) as digit_sum, item % 3 as mod3, item % 5 as mod5, item % 7 as mod7, item % 10 as last_digit from domain"
+    return with_(DRAWS, LONG) + f"select game, draw_id, item, item in ({primes}) as prime, item % 2 as parity, cast({d.div('item', '10')} + item % 10 as int) as digit_sum, item % 3 as mod3, item % 5 as mod5, item % 7 as mod7, item % 10 as last_digit from long"
 
 
 @plan
@@ -425,7 +429,7 @@ def w13_centrality(d):
 
 @plan
 def w14_rolling_correlation(d):
-    return with_(DRAWS, LONG, PAIRS, POI) + ", s as (select game, t, cast(causal as double) as y, cast(lag(causal) over (partition by game order by t) as double) as x from poi) select game, t, round(covar_pop(y, x) over (partition by game order by t rows between 9 preceding and current row), 4) as cov10 from s"
+    return with_(DRAWS, LONG, PAIRS, POI) + ", s as (select game, t, cast(causal as double) as y, cast(lag(causal) over (partition by game order by t) as double) as x from poi) select game, t, round(case when var_pop(y) over w > 1e-6 and var_pop(x) over w > 1e-6 then covar_pop(y, x) over w / sqrt((var_pop(y) over w) * (var_pop(x) over w)) end, 5) + 0.0 as corr10 from s where x is not null window w as (partition by game order by t rows between 9 preceding and current row)"
 
 
 @plan
@@ -460,7 +464,11 @@ def w20_folds(d):
 
 @plan
 def w21_shortlists(d):
-    return _scored(d) + ", r as (select ticket_id, g, target, row_number() over (order by g desc, ticket_id) as likely, row_number() over (order by g, ticket_id) as least_likely, row_number() over (order by abs(g - target), g desc, ticket_id) as gap_first from scored cross join target) select ticket_id, g, cast(likely as int) as likely, cast(least_likely as int) as least_likely, cast(gap_first as int) as gap_first from r where likely <= 20 or least_likely <= 20 or gap_first <= 20"
+    """The three top 20 of tickets: by score, by least score and by distance from the target; places within them only."""
+    ranks = {"likely": "g desc, ticket_id", "least_likely": "g, ticket_id", "gap_first": "abs(g - target), g desc, ticket_id"}
+    lists = " union all ".join(f"select '{k}' as list, ticket_id, g, target from (select ticket_id, g, target from scored cross join target order by {v} limit 20) as x" for k, v in ranks.items())
+    place = " union all ".join(f"select list, ticket_id, g, cast(row_number() over (order by {v}) as int) as place from listed where list = '{k}'" for k, v in ranks.items())
+    return _scored(d) + f", listed as ({lists}) select list, ticket_id, g, place from ({place}) as y"
 
 
 @plan
@@ -498,7 +506,7 @@ def u1_distinct_union(d):
 
 @plan
 def u2_new_items(d):
-    return with_(tickets(d)) + "select item from tickets where ticket_id = 7 except select item from tickets where ticket_id in (1, 2, 3)"
+    return with_(tickets(d)) + "select x.ticket_id, x.item from tickets x left join tickets y on y.ticket_id = x.ticket_id - 1 and y.item = x.item where y.item is null"
 
 
 @plan
@@ -513,7 +521,7 @@ def h1_gcd(d):
 
 @plan
 def h2_totient(d):
-    return with_(domain(d, high=60)) + f"select n.item as n, cast(sum(case when {d.gcd('n.item', 'k.item')} = 1 then 1 else 0 end) as bigint) as phi from domain n join domain k on k.item <= n.item group by n.item"
+    return with_("n as (select distinct p_size as item from part)", domain(d, "k", 60)) + f"select n.item as n, cast(sum(case when {d.gcd('n.item', 'k.item')} = 1 then 1 else 0 end) as bigint) as phi from n join k on k.item <= n.item group by n.item"
 
 
 @plan

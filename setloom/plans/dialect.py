@@ -11,6 +11,13 @@ def doubles(text: str) -> str:
 
 
 class Spark:
+    def written(self, text: str) -> str:
+        """A plan's text with EACH(a, b, ...) as a row for each and decimals as doubles."""
+        return doubles(re.sub(r"EACH\(([^()]*)\)", self.each(), text))
+
+    def each(self) -> str:
+        return r"explode(array(\1))"
+
     def u(self, text: str) -> str:
         """A uniform number from [0, 1) that depends on a text only."""
         return f"(cast(conv(substr(md5({text}), 1, 13), 16, 10) as double) / 4503599627370496.0)"
@@ -52,6 +59,9 @@ class Spark:
 
 
 class Duck(Spark):
+    def each(self) -> str:
+        return r"unnest([\1])"
+
     def u(self, text: str) -> str:
         return f"(cast(cast('0x' || substr(md5({text}), 1, 13) as bigint) as double) / 4503599627370496.0)"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions.combin import choose
+from setloom.sources.storage import stored
 
 MAIN_N, MAIN_K = 50, 5
 
@@ -50,6 +51,39 @@ def a4_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("a", "b", "n", F.round(z, 6).alias("z")).orderBy(F.abs("z").desc(), "a", "b").limit(25)
 
 
+#: The stored draws of each session and folder.
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """rows with `t`: their number from 1 within `group` by `order`, without one task per group.
+
+    Rows are dealt into ranges of (group, order) and stored; each range numbers its own rows, and a group's rows in
+    earlier ranges are added: one number per range and group, however many rows there are.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(parts, group, *order).withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = dealt.groupBy(group, "part").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
+    met = dealt.withColumn("within", within).join(F.broadcast(sizes.select(group, "part", before.alias("before"))), [group, "part"])
+    return met.withColumn("t", (F.col("before") + F.col("within")).cast("long")).drop("part", "within", "before")
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws of all games with mains b1 to b5, stars s1 and s2, and t in order of date; computed once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        day = F.col("o_orderdate").cast("date").alias("draw_date")
+        mains = [F.col("main")[i].alias(f"b{i + 1}") for i in range(MAIN_K)]
+        stars = [(F.col("draw_id") % 12 + 1).cast("int").alias("s1"), ((F.col("draw_id") % 12 + 1 + F.col("draw_id") % 11) % 12 + 1).cast("int").alias("s2")]
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("game"))
+        wide = orders.join(d5_sets(spark, sf_dir), F.col("o_orderkey") == F.col("draw_id")).select("game", "draw_id", *mains, *stars, day, "o_orderdate")
+        _KEPT[key] = stored(numbered(wide, "game", "o_orderdate", "draw_id").drop("o_orderdate"), "draws")
+    return _KEPT[key]
+
+
 D5 = """items as (select distinct l_orderkey as draw_id, cast(l_partkey % 50 + 1 as int) as item from lineitem),
 ranked as (select draw_id, item, row_number() over (partition by draw_id order by item) as rk, count(*) over (partition by draw_id) as k from items),
 mains as (select draw_id, item, rk from ranked where k >= 5 and rk <= 5)"""

@@ -11,9 +11,10 @@ wide as (select draw_id, max(case when rk = 1 then item end) as b1, max(case whe
   from ranked where k >= 5 group by draw_id),
 draws as (select o_orderpriority as game, w.*, cast(o_orderdate as date) as draw_date, cast(row_number() over (partition by o_orderpriority order by o_orderdate, draw_id) as bigint) as t from wide w join orders o on o.o_orderkey = w.draw_id)"""
 #: A row per draw and main item.
-LONG = """long as (select game, draw_id, t, draw_date, b1 as item from draws union all select game, draw_id, t, draw_date, b2 from draws union all select game, draw_id, t, draw_date, b3 from draws
-  union all select game, draw_id, t, draw_date, b4 from draws union all select game, draw_id, t, draw_date, b5 from draws)"""
-PAIRS = """pairs as (select x.game, x.draw_id, x.t, x.item as a, y.item as b from long x join long y on x.draw_id = y.draw_id and x.item < y.item)"""
+LONG = """long as (select game, draw_id, t, draw_date, EACH(b1, b2, b3, b4, b5) as item from draws)"""
+#: A row per draw and pair of main items, a < b: the ten pairs of a draw, each written as a * 64 + b for the moment.
+PAIRS = f"""coded as (select game, draw_id, t, EACH({', '.join(f'b{i} * 64 + b{j}' for i in range(1, 5) for j in range(i + 1, 6))}) as p from draws),
+pairs as (select game, draw_id, t, cast((p - p % 64) / 64 as int) as a, cast(p % 64 as int) as b from coded)"""
 COUNTS = """counts as (select game, a, b, cast(count(*) as bigint) as n from pairs group by game, a, b)"""
 #: Pair-occurrence index of each draw, counting earlier draws only (causal) or the draw too (inclusive).
 POI = """seen as (select game, draw_id, t, a, b, row_number() over (partition by game, a, b order by t) as k from pairs),

@@ -7,7 +7,6 @@ table until it has been read (availableNow) and return what the job has written,
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from setloom.sources.storage import shared_dir
+
 #: How late a row may come, and how long after a view its purchase counts.
 LATE, SETTLED_WITHIN = "2 hours", "1 hour"
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -23,12 +24,7 @@ KINDS = ("click", "error", "purchase", "signup", "view")
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder for sinks and stream checkpoints, below the one that the cluster shares."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="setloom-")
-        context.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
