@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; where it is unset a local one in local mode (tests), and an error on a cluster."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="setloom-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
