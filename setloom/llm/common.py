@@ -85,8 +85,8 @@ def range_bucket(key: Column, bounds: list) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), narrow)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice has at most `rows` rows and about 4 MB of text (a longer text: alone)."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that one slice has at most `rows` rows and about `size` bytes of text (a longer text: alone)."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -100,7 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, text: str = "text
         start = 0
         while start < batch.num_rows:
             base = total[start - 1] if start else 0
-            stop = int(np.searchsorted(total, base + (4 << 20), "right"))
+            stop = int(np.searchsorted(total, base + size, "right"))
             stop = min(max(stop, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop

@@ -30,6 +30,8 @@ from .common import forget, range_bounds, range_bucket, shuffle_partitions, slic
 LENGTH = 1024
 SHARD = 512
 SHARD_IDS = 4 << 20
+#: A term is kept densely if one document in DENSE of a shard has it.
+DENSE = 16
 K1, B = 1.2, 0.75
 #: Bits of a document's place in the order that its doc_id gives; the others are its heaviest terms.
 HASH = 15
@@ -44,7 +46,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], c.dtype).tobytes()
         size = c.tokenizer.get_vocab_size()
         df, n, total = np.zeros(size, "i8"), 0, 0
-        for batch in slices(batches, rows=4096):
+        for batch in slices(batches, rows=8192, size=12 << 20):
             made = [x + end for x in c.encode_many(texts_of(batch))]
             for raw in made:
                 ids = np.frombuffer(raw, c.dtype)
@@ -89,17 +91,28 @@ class Shard:
         doc = np.repeat(np.arange(len(docs), dtype="i4"), [len(t) for t, _ in self.terms])
         norm = (K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)).astype("f4")
         order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
-        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.doc = doc[order].astype("i8")
+        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order].astype("f8")
+        held = np.bincount(term, minlength=len(idf))
+        self.start = np.concatenate(([0], np.cumsum(held)))
         self.many = len(docs)
+        # terms that many of the shard's documents have are rows of a dense table: one addition instead of postings
+        common = np.flatnonzero(held >= max(2, len(docs) // DENSE))
+        self.row = np.full(len(idf), -1, "i4")
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(docs)), "f8")
+        kept = self.row[term]
+        self.dense[kept[order][kept[order] >= 0], self.doc[kept[order] >= 0]] = self.weight[kept[order] >= 0]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
         terms = self.terms[seed][0]
+        row = self.row[terms]
+        total = self.dense[row[row >= 0]].sum(0)
+        terms = terms[row < 0]
         low, n = self.start[terms], self.start[terms + 1] - self.start[terms]
         at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.many)
+        return total + np.bincount(self.doc[at], self.weight[at], self.many) if len(at) else total
 
 
 def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
