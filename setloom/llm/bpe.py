@@ -15,11 +15,14 @@ from __future__ import annotations
 import functools
 import json
 import re
+from itertools import accumulate, repeat
 
 import numpy as np
 
 #: Pieces that one worker process keeps.
 MEMO = 1_000_000
+#: Bytes of the longest match whose prefixes are counted together with others.
+LOCKSTEP = 32
 #: Fixed value: the byte-level pretokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Marks that often follow a word.
@@ -29,6 +32,9 @@ _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(
 _RISKS = tuple(x for b in _BLANKS for x in dict.fromkeys((f" {b}", f"{b} ")))
 #: A text that begins or ends with a space or has one beside another blank is cut by _CUT, others at every space.
 _ODD = "^ | $|" + "|".join(f" [{x}]|[{x}] " for x in [_BLANKS])
+_LATIN = re.compile("[\0-\u024f]*").fullmatch
+#: Blanks and what follows them.
+_RUNS = re.compile(r"([\t-\r \x85\xa0  -     　]*)([^\t-\r \x85\xa0  -     　]*)")
 _ASCII_RISKS = tuple(x for x in _RISKS if x.isascii())
 
 
@@ -56,6 +62,7 @@ class Bpe:
 
     def __init__(self, tokenizer, exact_pattern: bool):
         import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = tokenizer
         self.model = tokenizer.model
@@ -64,7 +71,11 @@ class Bpe:
         self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         self.exact_pattern = exact_pattern
         self.find = regex.compile(PATTERN).findall
+        self.split = Tokenizer(self.model)
+        self.split.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.known: dict[str, bytes] = {}
+        #: Matches that stand inside a piece, without a space before them.
+        self.own: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.counts = PrefixCounts(self)
 
@@ -72,27 +83,65 @@ class Bpe:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     @functools.cached_property
-    def opens(self) -> np.ndarray:
-        """Which ids start with the byte of a space."""
-        out = np.zeros(self.tokenizer.get_vocab_size(), bool)
+    def sizes(self) -> np.ndarray:
+        """Bytes of each id."""
+        out = np.zeros(self.tokenizer.get_vocab_size(), "i8")
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            out[i] = token.startswith(byte_characters()[32])
+            out[i] = len(token)
         return out
 
     def learn(self, pieces: list[str]) -> None:
-        """Let the library encode new pieces, each after its space; those with no blank inside together as one text."""
-        if len(self.known) > MEMO:
-            self.known.clear()
-        joined = [p for p in pieces if p.split() == [p]]
-        text = " " + " ".join(joined)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) == len(joined):
-            raw, step = ids.tobytes(), self.dtype.itemsize
-            at = [*(starts * step).tolist(), len(raw)]
-            self.known.update((p, raw[i:j]) for p, i, j in zip(joined, at, at[1:]))
-            pieces = [*set(pieces).difference(joined)]
-        self.known.update(zip(pieces, self.wholes([" " + p for p in pieces])))
+        """Let the library encode new pieces, each after its space.
+
+        Latin pieces are taken as the pattern's matches, so a word before a mark or a line end is encoded once; others
+        (where versions of Unicode may differ) go to the library with its own pretokenizer.
+        """
+        known, own = self.known, self.own
+        if len(known) + len(own) > MEMO:
+            known.clear()
+            own.clear()
+        latin = pieces if _LATIN("".join(pieces)) else [p for p in pieces if _LATIN(p)]
+        words = {p for p in latin if p.isalpha()}
+        marked, parts = [], {}
+        for p in latin:
+            if p not in words:
+                word = p.rstrip(_STOPS)
+                if word.isalpha():
+                    marked.append((p, word, p[len(word) :]))
+                else:
+                    parts[p] = self.find(" " + p)
+        met = {m for x in parts.values() for m in x}
+        words.update(m[1:] for m in met if m[0] == " ")
+        words.update([w for _, w, _ in marked])
+        spaced = [*words.difference(known)]
+        alone = [*({m for m in met if m[0] != " "} | {m for *_, m in marked}).difference(own)]
+        raw = self._matches([*(" " + x for x in spaced), *alone])
+        if raw is None:
+            latin = []
+        else:
+            known.update(zip(spaced, raw))
+            own.update(zip(alone, raw[len(spaced) :]))
+            known.update([(p, known[w] + own[m]) for p, w, m in marked])
+            known.update([(p, b"".join([known[m[1:]] if m[0] == " " else own[m] for m in x])) for p, x in parts.items()])
+        if len(latin) < len(pieces):
+            rest = [p for p in pieces if p not in known]
+            known.update(zip(rest, self.wholes([" " + p for p in rest])))
+
+    def _matches(self, matches: list[str]) -> list[bytes] | None:
+        """Ids of single matches of the pattern, given to the model in one call; None if its tokens do not cover them."""
+        if not matches:
+            return []
+        raw = [m.encode() for m in matches]
+        table = byte_characters()[:255] + " "  # byte 255 is in no UTF-8 text: it parts the matches
+        text = b"\xff".join(raw).decode("latin-1").translate(table)
+        ids = np.array(self.split.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends, want = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, raw), "i8", len(raw)))
+        at = np.searchsorted(ends, want)
+        if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():
+            return None
+        step, made = self.dtype.itemsize, ids.tobytes()
+        cuts = [0, *((at + 1) * step).tolist()]
+        return [made[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def wholes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as the library gives them, in one call."""
@@ -220,6 +269,54 @@ def _steps(counts: list[int]) -> bytes:
     return bytes([b - a & 255 for a, b in zip([0, *counts], counts)])
 
 
+class Trie:
+    """The vocabulary as a table: row and byte give the next node; nodes with children come first, as the rows."""
+
+    def __init__(self, vocab: dict[str, int]):
+        back = {c: b for b, c in enumerate(byte_characters())}
+        children: list[dict[int, int]] = [{}]
+        token = [-1]
+        for text, i in vocab.items():
+            node = 0
+            for c in text:
+                step = back.get(c, -1)
+                after = children[node].get(step)
+                if after is None:
+                    after = children[node][step] = len(children)
+                    children.append({})
+                    token.append(-1)
+                node = after
+            token[node] = i
+        inner = [i for i, x in enumerate(children) if x]
+        rank = np.full(len(children), -1, "i4")
+        order = inner + [i for i, x in enumerate(children) if not x]
+        rank[order] = np.arange(len(children))
+        self.token = np.array(token, "i4")[order]
+        self.rows = len(inner)
+        self.next = np.full((self.rows, 256), -1, "i4")
+        for i in inner:
+            for step, after in children[i].items():
+                if step >= 0:
+                    self.next[rank[i], step] = rank[after]
+
+    def ids(self, raw: np.ndarray, longest: int) -> np.ndarray:
+        """For texts of one length (rows of bytes): at [k - 1, start, text] the id of the k bytes from start on, or -1."""
+        many, size = raw.shape
+        depth = min(longest, size)
+        out = np.full((depth, size, many), -1, "i4")
+        raw = np.ascontiguousarray(raw.T)
+        start, text = np.divmod(np.arange(size * many), many)
+        node = np.zeros(len(start), "i4")
+        for k in range(depth):
+            node = self.next[node, raw[start + k, text]]
+            on = node >= 0
+            start, text, node = start[on], text[on], node[on]
+            out[k, start, text] = self.token[node]
+            on = (node < self.rows) & (start + k + 1 < size)
+            start, text, node = start[on], text[on], node[on]
+        return out
+
+
 class PrefixCounts:
     """Changes of the token count from one code-point prefix to the next, by dynamic programming."""
 
@@ -231,6 +328,128 @@ class PrefixCounts:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tails: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.done: dict[str, bytes] = {}
+        self.valid_ids: dict[int, bool] = {}
+
+    @functools.cached_property
+    def trie(self) -> Trie:
+        return Trie(self.vocab)
+
+    @functools.cached_property
+    def names(self) -> list[str]:
+        out = [""] * (max(self.vocab.values()) + 1)
+        for token, i in self.vocab.items():
+            out[i] = token
+        return out
+
+    def many(self, matches: list[str]) -> list[bytes]:
+        """Changes over each match (of at most LOCKSTEP bytes), all matches of one length together.
+
+        The recurrence of `match`, step by step for all: the last token of a prefix is the longest one that ends there and
+        makes a valid pair with the last token before it.
+        """
+        out: list[bytes] = [b""] * len(matches)
+        raw = [m.encode() for m in matches]
+        sizes = np.fromiter(map(len, raw), "i8", len(raw))
+        order = np.argsort(sizes, kind="stable")
+        for places in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            for at in range(0, len(places), 1 << 14):
+                part = places[at : at + (1 << 14)].tolist()
+                if part and raw[part[0]]:
+                    for i, x in zip(part, self._lockstep(np.frombuffer(b"".join([raw[i] for i in part]), "u1").reshape(len(part), -1))):
+                        out[i] = x
+        return out
+
+    def _lockstep(self, raw: np.ndarray) -> list[bytes]:
+        many, size = raw.shape
+        ids = self.trie.ids(raw, self.longest)
+        base = len(self.names)
+        last = np.full((size + 1, many), -1, "i8")
+        count = np.zeros((size + 1, many), "i4")
+        for end in range(1, size + 1):
+            open_ = np.arange(many)
+            for k in range(min(end, len(ids)), 0, -1):
+                token = ids[k - 1, end - k, open_]
+                found = np.flatnonzero(token >= 0)
+                if not len(found):
+                    continue
+                at, token = open_[found], token[found].astype("i8")
+                ok = self._valid((last[end - k, at] + 1) * base + token)
+                at, token = at[ok], token[ok]
+                last[end, at] = token
+                count[end, at] = count[end - k, at] + 1
+                keep = np.ones(len(open_), bool)
+                keep[found[ok]] = False
+                open_ = open_[keep]
+                if not len(open_):
+                    break
+        ends = np.ones((many, size), bool)
+        ends[:, :-1] = raw[:, 1:] & 0xC0 != 0x80
+        flat = count[1:].T[ends]
+        cuts = np.concatenate(([0], np.cumsum(ends.sum(1))))
+        before = np.concatenate(([0], flat[:-1]))
+        before[cuts[:-1]] = 0
+        made = (flat - before).astype("i1").tobytes()
+        cuts = cuts.tolist()
+        return [made[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _valid(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pairs of ids, (first + 1) * vocabulary + second, stay as they are; the first may be none (-1)."""
+        known = self.valid_ids
+        if len(known) > 2 * MEMO:
+            known.clear()
+        asked = keys.tolist()
+        seen = np.fromiter(map(known.get, asked, repeat(2)), "i1", len(asked))
+        missing = np.flatnonzero(seen == 2)
+        if len(missing):
+            tokenize, names, base = self.bpe.model.tokenize, self.names, len(self.names)
+            for key in np.unique(keys[missing]).tolist():
+                a, b = divmod(key, base)
+                first = names[a - 1] if a else ""
+                known[key] = [t.id for t in tokenize(first + names[b])] == ([a - 1, b] if a else [b])
+            seen[missing] = [known[asked[i]] for i in missing.tolist()]
+        return seen == 1
+
+    def learn(self, texts: list[str]) -> None:
+        """Changes of all new pieces of a batch, so that `changes` finds them."""
+        known = self.known
+        if len(known) > MEMO:
+            known.clear()
+        heads, pieces = set(), set()
+        for x in texts:
+            if x:
+                head, *rest = pieces_of(x)
+                heads.add(head)
+                pieces.update(rest)
+        pieces.difference_update(known)
+        self.done.clear()
+        words, marked, other = [], [], []
+        for p in pieces:
+            if p.isalpha():
+                words.append(p)
+            else:
+                word = p.rstrip(_STOPS)
+                (marked if word.isalpha() else other).append(p)
+        met = {m for p in other for m in self.find_all(" " + p)}
+        met.update(m for h in heads for m in self.find_all(h))
+        words = [*{*words, *(p.rstrip(_STOPS) for p in marked)}.difference(known)]
+        met = [m for m in met if 3 < len(m) <= LOCKSTEP and len(m.encode()) <= LOCKSTEP]
+        short = [w for w in words if len(w.encode()) < LOCKSTEP]
+        made = self.many([*(" " + w for w in short), *met])
+        known.update(zip(short, made))
+        self.done.update(zip(met, made[len(short) :]))
+        for p in (*words, *marked, *other):
+            if p not in known:
+                known[p] = self.piece(p)
+
+    def find_all(self, text: str) -> list[str]:
+        """Matches that `plain` will ask for, but for blanks."""
+        out = []
+        for run in _RUNS.finditer(text):
+            blank, word = run.groups()
+            if word:
+                out += self.bpe.find((" " if blank.endswith(" ") else "") + word)
+        return out
 
     def valid(self, a: str, b: str) -> bool:
         """Whether the library leaves tokens a and b next to each other as they are (a may be empty)."""
@@ -241,6 +460,9 @@ class PrefixCounts:
 
     def match(self, text: str) -> list[int]:
         """Token counts of the code-point prefixes of one match of the pattern, from 1 character up."""
+        done = self.done.get(text)
+        if done is not None:
+            return [*accumulate(memoryview(done).cast("b"))]
         raw = text.encode()
         s = to_characters(raw)
         vocab, pairs, states = self.vocab, self.pairs, self.states
@@ -280,7 +502,7 @@ class PrefixCounts:
                 out += [base + c for c in at] if base else at
                 base += at[-1]
             return _steps(out)
-        for run in re.finditer(r"([\t-\r \x85\xa0  -     　]*)([^\t-\r \x85\xa0  -     　]*)", text):
+        for run in _RUNS.finditer(text):
             blank, word = run.groups()
             if blank:
                 out += [base + c for c in self.match(blank)]  # a cut here leaves the blanks as one match

@@ -103,9 +103,10 @@ def write_prefixes(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bpe.load_json(path)
-        for batch in slices(batches):
+        for batch in slices(batches, rows=4096):
             texts = texts_of(batch)
             if c.exact_pattern:
+                c.counts.learn(texts)
                 made = [c.counts.changes(x) for x in texts]
             else:  # other kinds of vocabulary: the library counts each prefix
                 made = [np.diff([0, *(len(c.encode(x[:i])) // c.dtype.itemsize for i in range(1, len(x) + 1))]).astype("i1").tobytes() for x in texts]
