@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.operators import ranking
+from setloom.operators import forward, ranking
 from setloom.plans import draws, more
 from setloom.plans.views import DRAWS
 from setloom.plans.dialect import Duck, Spark
+from setloom.sources import jobs as files
 from setloom.streaming import jobs
 
 FLAGSHIP = "a4_top_pairs"
@@ -31,5 +32,5 @@ def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **ranking.QUERIES, **jobs.QUERIES, **{n: planned(n) for n in more.SQL}}
-ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **ranking.ORACLE_SQL, **jobs.ORACLE_SQL, **{n: Duck().written(f(Duck())) for n, f in more.SQL.items()}}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **ranking.QUERIES, **jobs.QUERIES, **files.QUERIES, **forward.QUERIES, **{n: planned(n) for n in more.SQL}}
+ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **ranking.ORACLE_SQL, **jobs.ORACLE_SQL, **files.ORACLE_SQL, **forward.ORACLE_SQL, **{n: Duck().written(f(Duck())) for n, f in more.SQL.items()}}

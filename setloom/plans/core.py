@@ -98,10 +98,17 @@ def p11_labels(d):
 # Joins
 
 
+def _star_hits(ticket: str, draw: str) -> str:
+    """Hits of a ticket's two stars, which follow from its id, in a draw's."""
+    first, second = f"({ticket} % 12 + 1)", f"(({ticket} % 12 + 1 + {ticket} % 11) % 12 + 1)"
+    return "(" + " + ".join(f"case when {x} in ({draw}.s1, {draw}.s2) then 1 else 0 end" for x in (first, second)) + ")"
+
+
 @plan
 def j1_settle(d):
-    return with_(DRAWS, LONG, tickets(d)) + """, asked as (select ticket_id, item, game, draw_id, t from tickets k join draws x on x.t = k.ticket_id)
-select a.ticket_id, a.game, cast(count(l.item) as bigint) as main_hits, concat(cast(count(l.item) as varchar(9)), '+0') as tier from asked a left join long l on l.draw_id = a.draw_id and l.item = a.item group by a.ticket_id, a.game"""
+    return with_(DRAWS, LONG, tickets(d)) + f""", asked as (select ticket_id, item, game, draw_id, {_star_hits('ticket_id', 'x')} as star_hits from tickets k join draws x on x.t = k.ticket_id)
+select a.ticket_id, a.game, cast(count(l.item) as bigint) as main_hits, cast(max(star_hits) as bigint) as star_hits, concat(cast(count(l.item) as varchar(9)), '+', cast(max(star_hits) as varchar(9))) as tier
+from asked a left join long l on l.draw_id = a.draw_id and l.item = a.item group by a.ticket_id, a.game"""
 
 
 @plan
@@ -245,20 +252,22 @@ def a11_normalised_rates(d):
 
 def _settled(d):
     return with_(DRAWS, LONG, tickets(d)) + """, sizes as (select game, count(*) as n from draws group by game), entered as (select ticket_id, item, game, n from tickets cross join sizes),
-asked as (select k.ticket_id, k.item, x.game, x.draw_id from entered k join draws x on x.game = k.game and x.t = k.ticket_id % k.n + 1),
-hits as (select a.ticket_id, a.game, a.draw_id, count(l.item) as hits from asked a left join long l on l.draw_id = a.draw_id and l.item = a.item group by a.ticket_id, a.game, a.draw_id)"""
+asked as (select k.ticket_id, k.item, x.game, x.draw_id, STARS as stars from entered k join draws x on x.game = k.game and x.t = k.ticket_id % k.n + 1),
+hits as (select a.ticket_id, a.game, a.draw_id, count(l.item) as hits, max(a.stars) as stars from asked a left join long l on l.draw_id = a.draw_id and l.item = a.item group by a.ticket_id, a.game, a.draw_id)""".replace("STARS", _star_hits("k.ticket_id", "x"))
 
 
 @plan
 def a12_settlement_summary(d):
-    return _settled(d) + "select game, draw_id, cast(count(*) as bigint) as tickets, cast(max(hits) as bigint) as best, round(avg(hits), 6) as mean_hits, cast(sum(case when hits = 5 then 1 else 0 end) as bigint) as jackpots from hits group by game, draw_id"
+    top = "max(hits * 10 + stars)"
+    tier = f"concat(cast({d.div(top, '10')} as varchar(9)), '+', cast({top} % 10 as varchar(9)))"
+    return _settled(d) + f"select game, draw_id, cast(count(*) as bigint) as tickets, cast(max(hits) as bigint) as best, cast(max(stars) as bigint) as best_star, {tier} as top_tier, round(avg(hits), 6) as mean_hits, cast(sum(case when hits = 5 and stars = 2 then 1 else 0 end) as bigint) as jackpots from hits group by game, draw_id"
 
 
 @plan
 def a13_result_rows(d):
     """Prizes and net of a draw's own tickets and of its controls, which a hash of the ticket tells apart."""
     arm = f"cast(floor({d.u('cast(ticket_id as varchar(20))')} * 2) as int)"
-    return _settled(d) + ", paid as (select game, draw_id, control, sum(prize) as prize, sum(stake) as stake from (select game, draw_id, ARM as control, sum(case hits when 5 then 1000.0 when 4 then 100.0 when 3 then 10.0 else 0.0 end) as prize, count(*) * 2.5 as stake from hits group by game, draw_id, ARM) as x group by game, draw_id, control) select m.game, m.draw_id, round(m.prize, 4) as prize, round(m.stake, 4) as stake, round(m.prize - m.stake, 4) as net, round((m.prize - m.stake) - (c.prize - c.stake), 4) as lift from paid m join paid c on c.game = m.game and c.draw_id = m.draw_id and c.control = 1 where m.control = 0".replace("ARM", arm)
+    return _settled(d) + ", paid as (select game, draw_id, control, sum(prize) as prize, sum(stake) as stake from (select game, draw_id, ARM as control, sum(case hits when 5 then 1000.0 when 4 then 100.0 when 3 then 10.0 when 2 then 4.0 * least(stars, 1) else 0.0 end * (1 + stars)) as prize, count(*) * 2.5 as stake from hits group by game, draw_id, ARM) as x group by game, draw_id, control) select m.game, m.draw_id, round(m.prize, 4) as prize, round(m.stake, 4) as stake, round(m.prize - m.stake, 4) as net, round((m.prize - m.stake) - (c.prize - c.stake), 4) as lift from paid m join paid c on c.game = m.game and c.draw_id = m.draw_id and c.control = 1 where m.control = 0".replace("ARM", arm)
 
 
 @plan
