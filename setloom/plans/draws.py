@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setloom.functions.combin import choose
 from setloom.sources.storage import stored
 
 MAIN_N, MAIN_K = 50, 5
@@ -44,9 +44,9 @@ def pair_counts(sets: DataFrame) -> DataFrame:
 def a4_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 pairs furthest from a fair draw. Pair counts are at most C(50, 2) rows whatever the history's size."""
     sets = d5_sets(spark, sf_dir)
-    share = choose(MAIN_K, 2) / choose(MAIN_N, 2)
+    share = comb(MAIN_K, 2) / comb(MAIN_N, 2)
     counts = pair_counts(sets)
-    total = F.sum("n").over(Window.partitionBy()) / choose(MAIN_K, 2)
+    total = F.sum("n").over(Window.partitionBy()) / comb(MAIN_K, 2)
     z = (F.col("n") - total * share) / F.sqrt(total * share * (1 - share))
     return counts.select("a", "b", "n", F.round(z, 6).alias("z")).orderBy(F.abs("z").desc(), "a", "b").limit(25)
 

@@ -74,7 +74,8 @@ def h4_hit_distribution(d: Spark) -> str:
     """Probabilities of 0 to 5 hits per draw from its items' frequencies: one fold step for each item."""
     parts, items = [], range(1, 6)
     p = {i: f"f{i}.p as p{i}" for i in items}
-    joins = " ".join(f"join freq f{i} on f{i}.game = d.game and f{i}.item = d.b{i}" for i in items)
+    # each item of a draw has a frequency; left joins keep the order of the joins in either engine
+    joins = " ".join(f"left join freq f{i} on f{i}.game = d.game and f{i}.item = d.b{i}" for i in items)
     parts.append("freq as (select game, item, count(*) * 1.0 / max(n) as p from (select l.game, l.item, n from long l join (select game, count(*) as n from draws group by game) as c on c.game = l.game) as x group by game, item)")
     parts.append(f"q0 as (select d.game, d.draw_id, {', '.join(p.values())}, 1.0 as k0 from draws d {joins})")
     for i in items:

@@ -15,7 +15,7 @@ def rows(values):
 
 @pytest.mark.parametrize("name", FAST)
 def test_equals_duckdb(spark, sf_dir, name):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "3GB", "threads": 4})
     for f in glob.glob(f"{sf_dir}/*.parquet"):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
     made = catalog.QUERIES[name](spark, sf_dir)
