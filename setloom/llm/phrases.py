@@ -5,12 +5,12 @@ Prefix polynomials over bytes give each word's fingerprint and polynomials over
 words; the language is mixed in. Rounds:
 
 1. Words are counted by fingerprint, with the words of each language.
-2. Then runs of 2, 3, ... words, by fingerprint with a count and the pointer (doc_id, byte) of the first occurrence. A
-   run is counted only if both runs of one word less in it may be frequent, which a filter of FILTER_BITS bits says:
-   it never misses a frequent run, and what it lets through besides is dropped after the count.
-3. Texts are read once more. Each occurrence of a fingerprint that is frequent is compared, by bytes, with the others
-   that share it, and runs are counted by (lang, text), so that two phrases with one fingerprint come apart. Only these
-   phrases are ever made into text. Phrases below the smallest count go.
+2. Then runs of 2, 3, ... words, by fingerprint. A run is counted only if both runs of one word less in it may be
+   frequent, which a filter of FILTER_BITS bits says: it never misses a frequent run, and what it lets through besides
+   is dropped after the count.
+3. Texts are read once more. The places of a frequent fingerprint point to its occurrences, which are compared by bytes,
+   and runs are counted by (lang, text) with a pointer (the smallest doc_id), so that two phrases with one fingerprint
+   come apart. Only these phrases are ever made into text. Phrases below the smallest count go.
 
 Tasks add up what they have seen before it is shuffled. Scores are joins of phrases with their parts.
 
@@ -38,31 +38,30 @@ BLANKS = " \t"
 LONGEST = 3
 #: Bits of the filter of frequent fingerprints, and how many of them a task sends at once.
 FILTER_BITS, FILTER_PART = 27, 21
-#: Different runs that a task holds before it hands them on.
-HELD = 1 << 20
+#: Runs that a task holds before it adds them up, and the bytes of a chunk whose phrases are spelt together.
+HELD, SPELT = 1 << 19, 1 << 21
 WORD = ~spans.byte_set(PIECE_ENDS + BLANKS)
 ENDS = spans.byte_set(PIECE_ENDS)
 
 
-def runs(chunk: spans.Chunk, tenant: np.ndarray, bits: int = 64) -> list[np.ndarray]:
-    """For k = 1 to LONGEST the fingerprint of the k words from each own word on; 0 where the piece ends before.
+def runs(chunk: spans.Chunk, tenant: np.ndarray, sizes: tuple[int, ...], bits: int = 64, words: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each k of `sizes` the fingerprint of the k words from each own word on; 0 where the piece ends before.
 
     `tenant` is a number for each row's language; `bits` below 64 makes collisions, for tests.
     """
     n = len(chunk.starts)
-    words = chunk.prints()
-    prefix = spans.prefix_polynomial(words, spans.WORD_POWERS)
-    # pieces: the number of piece ends before a word
-    ends = np.concatenate(([0], np.cumsum(ENDS[chunk.data])))
-    piece = ends[chunk.starts]
+    prefix = spans.prefix_polynomial(chunk.prints() if words is None else words, spans.WORD_POWERS)
+    # pieces: how many words before this one start a piece
+    piece = np.zeros(n + 1, "i8")
+    piece[np.searchsorted(chunk.starts, np.flatnonzero(np.take(ENDS, chunk.data)))] = 1
+    piece[1:n][chunk.rows[1:] != chunk.rows[:-1]] = 1
+    piece = np.cumsum(piece)
     out = []
-    for k in range(1, LONGEST + 1):
+    for k in sizes:
         made = np.zeros(chunk.own, "u8")
         m = min(chunk.own, n - k + 1)
         if m > 0:
-            start = np.arange(m)
-            whole = (piece[:m] == piece[k - 1 : k - 1 + m]) & (chunk.rows[:m] == chunk.rows[k - 1 : k - 1 + m])
-            start = start[whole]
+            start = np.flatnonzero(piece[:m] == piece[k - 1 : k - 1 + m])
             found = mixed(spans.span_prints(prefix, start, start + k, spans.WORD_POWERS) ^ tenant[chunk.rows[start]])
             if bits < 64:
                 found &= np.uint64((1 << bits) - 1)
@@ -114,60 +113,65 @@ def filter_of(frequent: DataFrame, bits: int = FILTER_BITS) -> Filter:
     return Filter({r["part"]: r["flags"] for r in rows}, bits)
 
 
-COUNTS = "print long, n long, doc_id long, at long, lang string"
+COUNTS = "print long, n long, lang string"
 
 
-def count_runs(docs: DataFrame, k: int, may: Filter | None, bits: int = 64, chunk_bytes: int = spans.CHUNK) -> DataFrame:
-    """Rows of COUNTS for runs of k words, added up by task: fingerprint, count, place of the first occurrence in it.
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints once each, with the sums of their counts."""
+    prints, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(prints)
+    prints = prints[order]
+    first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1]))[: len(prints)])
+    return prints[first], np.add.reduceat(n[order], first) if len(first) else n
 
-    For k = 1 also a row without a fingerprint for each language with its words.
-    """
+
+def count_runs(docs: DataFrame, k: int, may: Filter | None, bits: int = 64, chunk_bytes: int = spans.CHUNK) -> DataFrame:
+    """Rows of COUNTS for runs of k words, added up by task; for k = 1 also a row without a fingerprint for each
+    language, with its words."""
     sent = docs.sparkSession.sparkContext.broadcast(may)  # 2**(FILTER_BITS - 3) bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, held, size, words = sent.value, [], 0, {}
+        may, fresh, size, parts, words = sent.value, [], 0, [], {}
 
-        def added() -> list[np.ndarray]:
-            prints, n, doc, at = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(prints, kind="stable")
-            prints = prints[order]
-            first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1]))[: len(prints)])
-            return [prints[first], np.add.reduceat(n[order], first), doc[order][first], at[order][first]]
+        def out() -> pa.RecordBatch:
+            prints, n = added(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(prints.view("i8")), pa.array(n), pa.nulls(len(n), pa.string())], [x.split()[0] for x in COUNTS.split(", ")])
 
-        def out(made: list[np.ndarray]) -> pa.RecordBatch:
-            doc = pa.array(made[2], mask=made[2] == np.iinfo("i8").min)
-            return pa.RecordBatch.from_arrays([pa.array(made[0].view("i8")), pa.array(made[1]), doc, pa.array(made[3]), pa.nulls(len(made[0]), pa.string())], [x.split()[0] for x in COUNTS.split(", ")])
+        def settle() -> None:
+            nonlocal size
+            if size:
+                parts.append(np.unique(np.concatenate(fresh), return_counts=True))
+            fresh.clear()
+            size = 0
 
         for batch in slices(batches, rows=4096):
             names, tenant = tenants(batch.column("lang").to_pylist())
-            ids = batch.column("doc_id").fill_null(np.iinfo("i8").min).to_numpy()
             for chunk in spans.chunks(batch.column("text"), WORD, LONGEST - 1, chunk_bytes):
-                found = runs(chunk, tenant, bits)
                 if k == 1:
-                    for row, n in zip(*np.unique(chunk.rows[: chunk.own], return_counts=True)):
-                        words[names[row]] = words.get(names[row], 0) + int(n)
-                    at = np.arange(chunk.own)
+                    (found,) = runs(chunk, tenant, (1,), bits)
+                    for row, n in enumerate(np.bincount(chunk.rows[: chunk.own]).tolist()):
+                        if n:
+                            words[names[row]] = words.get(names[row], 0) + n
                 else:
-                    shorter = may(found[k - 2])
-                    later = np.zeros(chunk.own, bool)
-                    later[:-1] = shorter[1:]
-                    if chunk.own < len(chunk.starts):
-                        later[-1:] = True  # the next word's runs belong to the next part
-                    at = np.flatnonzero((found[k - 1] != 0) & shorter & later)
-                held.append((found[k - 1][at], np.ones(len(at), "i8"), ids[chunk.rows[at]], chunk.places[at]))
-                size += len(at)
-                if size >= 2 * HELD:
-                    held = [tuple(added())]
-                    size = len(held[0][0])
-                    if size >= HELD:
-                        yield out(held[0])
-                        held, size = [], 0
-        if size:
-            yield out(added())
+                    shorter, found = runs(chunk, tenant, (k - 1, k), bits)
+                    fits = may(shorter)
+                    later = np.ones(chunk.own, bool)  # after the last own word the next part goes on
+                    later[:-1] = fits[1:]
+                    found = found[(found != 0) & fits & later]
+                fresh.append(found)
+                size += len(found)
+                if size >= HELD:
+                    settle()
+                    if sum(len(x) for x, _ in parts) >= 2 * HELD:
+                        yield out()
+        settle()
+        if parts:
+            yield out()
         if words:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64()), pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), pa.array(words.keys(), pa.string())], [x.split()[0] for x in COUNTS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64()), pa.array(words.keys(), pa.string())], [x.split()[0] for x in COUNTS.split(", ")])
 
-    return docs.mapInArrow(run, COUNTS)
+    return docs.select("lang", "text").mapInArrow(run, COUNTS)
 
 
 def same_words(chunk: spans.Chunk, prints: np.ndarray) -> np.ndarray:
@@ -188,58 +192,72 @@ def same_words(chunk: spans.Chunk, prints: np.ndarray) -> np.ndarray:
     return number
 
 
-PHRASES = "lang string, words int, phrase binary, n long, doc_id long, at long"
+PHRASES = "lang string, words int, phrase binary, n long, doc_id long"
+NONE = np.iinfo("i8").max
 
 
-def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes: int = spans.CHUNK) -> DataFrame:
+def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes: int = SPELT) -> DataFrame:
     """Rows of PHRASES by task: each run whose fingerprint may be frequent, counted by its text."""
     sent = docs.sparkSession.sparkContext.broadcast(may)  # LONGEST filters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, bytes], list] = {}
+        held: dict[tuple[str, int, bytes], list[int]] = {}
 
         def out() -> pa.RecordBatch:
             lang, k, phrase = zip(*held)
-            n, doc, at = zip(*held.values())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], [x.split()[0] for x in PHRASES.split(", ")])
+            n, doc = (np.array(x, "i8") for x in zip(*held.values()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()), pa.array(n), pa.array(doc, mask=doc == NONE)], [x.split()[0] for x in PHRASES.split(", ")])
 
         for batch in slices(batches, rows=4096):
             names, tenant = tenants(batch.column("lang").to_pylist())
-            lang_of = {x: i for i, x in enumerate(dict.fromkeys(names))}
-            lang, langs = np.array([lang_of[x] for x in names], "i8"), list(lang_of)
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id").fill_null(NONE).to_numpy()
             for chunk in spans.chunks(batch.column("text"), WORD, LONGEST - 1, chunk_bytes):
                 if not chunk.own:
                     continue
-                found = runs(chunk, tenant, bits)
-                number = same_words(chunk, chunk.prints() if bits == 64 else chunk.prints() & np.uint64((1 << bits) - 1))
+                words = chunk.prints()
+                all_runs = runs(chunk, tenant, tuple(range(1, LONGEST + 1)), bits, words)
+                number = same_words(chunk, words if bits == 64 else words & np.uint64((1 << bits) - 1))
                 spelt: dict[int, bytes] = {}
-                for k in range(1, LONGEST + 1):
-                    at = np.flatnonzero(may[k - 1](found[k - 1]))
+                for k, found in enumerate(all_runs, 1):
+                    at = np.flatnonzero(may[k - 1](found))
                     if not len(at):
                         continue
-                    key = [lang[chunk.rows[at]], *(number[at + j] for j in range(k))]
-                    # equal fingerprints stand together; where the words differ, so do the keys
-                    order = np.lexsort((at, *key[::-1], found[k - 1][at])) if k == 1 or bits < 64 else np.lexsort((at, found[k - 1][at]))
-                    at, key = at[order], [x[order] for x in key]
-                    new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in key], axis=0)))
+                    prints = found[at]
+                    order = np.argsort(prints)
+                    prints, at = prints[order], at[order]
+                    new = np.concatenate(([True], prints[1:] != prints[:-1]))
+                    # occurrences that share a fingerprint: are their languages and words the same?
+                    key = [tenant[chunk.rows[at]], *(number[at + j] for j in range(k))]
+                    differs = np.zeros(len(at), bool)
+                    for x in key:
+                        differs[1:] |= x[1:] != x[:-1]
+                    if (differs & ~new).any():
+                        order = np.lexsort((*key, prints))
+                        at = at[order]
+                        new = np.zeros(len(at), bool)
+                        new[0] = True
+                        for x in (*key, prints):
+                            new[1:] |= np.diff(x[order]) != 0
                     first = np.flatnonzero(new)
-                    for i, n in zip(at[first].tolist(), np.diff(np.append(first, len(at))).tolist()):
-                        words = []
-                        for j in range(i, i + k):
-                            word = spelt.get(number[j])
+                    docs_of = np.minimum.reduceat(ids[chunk.rows[at]], first).tolist()
+                    for i, n, doc in zip(at[first].tolist(), np.diff(np.append(first, len(at))).tolist(), docs_of):
+                        spelling = []
+                        for j in number[i : i + k].tolist():
+                            word = spelt.get(j)
                             if word is None:
-                                word = spelt[number[j]] = chunk.word(j)
-                            words.append(word)
-                        mine = (langs[lang[chunk.rows[i]]], k, b" ".join(words))
+                                word = spelt[j] = chunk.word(i + len(spelling))
+                            spelling.append(word)
+                        mine = (names[chunk.rows[i]], k, b" ".join(spelling))
                         seen = held.get(mine)
                         if seen is None:
-                            held[mine] = [n, ids[chunk.rows[i]], int(chunk.places[i])]
+                            held[mine] = [n, doc]
                         else:
                             seen[0] += n
-                if len(held) >= HELD // 4:
+                            if doc < seen[1]:
+                                seen[1] = doc
+                if len(held) >= HELD // 2:
                     yield out()
-                    held = {}
         if held:
             yield out()
 
@@ -247,21 +265,21 @@ def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes:
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10, bits: int = 64, filter_bits: int = FILTER_BITS, chunk_bytes: int = spans.CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Phrases of 1 to LONGEST words with at least `least` occurrences in their lang (lang, words, phrase, n, doc_id, at:
-    the occurrence with the smallest doc_id), and the words of each lang (lang, n), of docs(doc_id, lang, text)."""
+    """Phrases of 1 to LONGEST words with at least `least` occurrences in their lang (lang, words, phrase, n, doc_id:
+    the smallest), and the words of each lang (lang, n), of docs(doc_id, lang, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "lang", "text")
     may: list[Filter] = []
     totals = None
     for k in range(1, LONGEST + 1):
-        counted = stored(count_runs(docs, k, may[-1] if may else None, bits, chunk_bytes).groupBy("print", "lang").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where(F.col("print").isNull() | (F.col("n") >= least)), f"runs-{k}")
+        counted = stored(count_runs(docs, k, may[-1] if may else None, bits, chunk_bytes).groupBy("print", "lang").agg(F.sum("n").alias("n")).where(F.col("print").isNull() | (F.col("n") >= least)), f"runs-{k}")
         if k == 1:
             totals = counted.where(F.col("print").isNull()).select("lang", "n")
             once = counted
         may.append(filter_of(counted.where(F.col("print").isNotNull()), filter_bits))
         if k > 1:
             forget(counted)
-    spelt = spell_runs(docs, may, bits, chunk_bytes).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where(F.col("n") >= least)
-    found = stored(spelt.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "n", "first.doc_id", "first.at"), "phrases")
+    spelt = spell_runs(docs, may, bits, min(chunk_bytes * 8, SPELT)).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
+    found = stored(spelt.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "n", "doc_id"), "phrases")
     totals = stored(totals, "words")
     forget(once)
     return found, totals

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .words import mixed
 
 #: Bytes of a chunk; a longer text is cut into several.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE, OVER_WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Bytes with A-Z in lower case.
 LOWER = np.arange(256, dtype="u1")
@@ -77,7 +77,7 @@ class Chunk:
     part: bool  # of a row that has several chunks
 
     def prints(self) -> np.ndarray:
-        return span_prints(prefix_polynomial(VALUES[self.data], BYTE_POWERS), self.starts, self.ends, BYTE_POWERS)
+        return span_prints(prefix_polynomial(np.take(VALUES, self.data), BYTE_POWERS), self.starts, self.ends, BYTE_POWERS)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -96,13 +96,16 @@ def _next(data: np.ndarray, flags: np.ndarray, at: int) -> int:
 
 def _word_edges(data: np.ndarray, in_word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of word bytes that do not cross the bounds of rows."""
-    inside = in_word[data]
-    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
+    if not len(data):
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    inside = np.take(in_word, data)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     cuts = bounds[(bounds > 0) & (bounds < len(data))]
-    before[cuts] = False
-    after[cuts - 1] = False
-    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    cuts = np.unique(cuts[inside[cuts] & inside[cuts - 1]])
+    if len(cuts):
+        edges = np.sort(np.concatenate((edges, cuts, cuts)))
+    edges = np.concatenate((np.zeros(int(inside[0]), "i8"), edges, np.full(int(inside[-1]), len(data))))
+    return edges[::2], edges[1::2]
 
 
 def chunks(texts: pa.Array, in_word: np.ndarray, ahead: int = 0, size: int = CHUNK) -> Iterator[Chunk]:
@@ -127,7 +130,7 @@ def chunks(texts: pa.Array, in_word: np.ndarray, ahead: int = 0, size: int = CHU
                 stop = cut
                 for _ in range(ahead):
                     stop = _next(whole, outside, _next(whole, in_word, stop))
-                held = LOWER[whole[at:stop]]
+                held = np.take(LOWER, whole[at:stop])
                 s, e = _word_edges(held, in_word, np.zeros(0, "i8"))
                 yield Chunk(held, s, e, np.full(len(s), row), int(np.searchsorted(s, cut - at)), s + at, True)
                 at = cut
@@ -136,9 +139,9 @@ def chunks(texts: pa.Array, in_word: np.ndarray, ahead: int = 0, size: int = CHU
         stop = max(row + 1, int(np.searchsorted(ends, low + size, "right")))
         while stop > row + 1 and lengths[stop - 1] > size:
             stop -= 1
-        held = LOWER[data[low : int(ends[stop - 1])]]
+        held = np.take(LOWER, data[low : int(ends[stop - 1])])
         bounds = ends[row:stop] - low
         s, e = _word_edges(held, in_word, bounds)
-        rows = np.searchsorted(bounds, s, "right") + row
+        rows = np.repeat(np.arange(row, stop), np.diff(np.searchsorted(s, bounds), prepend=0))
         yield Chunk(held, s, e, rows, len(s), s - (ends[rows] - lengths[rows] - low), False)
         row = stop
