@@ -39,7 +39,7 @@ LONGEST = 3
 #: Bits of the filter of frequent fingerprints, and how many of them a task sends at once.
 FILTER_BITS, FILTER_PART = 27, 21
 #: Runs that a task holds before it adds them up, and the bytes of a chunk whose phrases are spelt together.
-HELD, SPELT = 1 << 19, 1 << 21
+HELD, SPELT = 1 << 18, 1 << 20
 WORD = ~spans.byte_set(PIECE_ENDS + BLANKS)
 ENDS = spans.byte_set(PIECE_ENDS)
 
@@ -163,7 +163,7 @@ def count_runs(docs: DataFrame, k: int, may: Filter | None, bits: int = 64, chun
                 size += len(found)
                 if size >= HELD:
                     settle()
-                    if sum(len(x) for x, _ in parts) >= 2 * HELD:
+                    if sum(len(x) for x, _ in parts) >= 4 * HELD:
                         yield out()
         settle()
         if parts:
@@ -256,7 +256,7 @@ def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes:
                             seen[0] += n
                             if doc < seen[1]:
                                 seen[1] = doc
-                if len(held) >= HELD // 2:
+                if len(held) >= HELD:
                     yield out()
         if held:
             yield out()
@@ -271,14 +271,16 @@ def frequent_phrases(docs: DataFrame, least: int = 10, bits: int = 64, filter_bi
     may: list[Filter] = []
     totals = None
     for k in range(1, LONGEST + 1):
-        counted = stored(count_runs(docs, k, may[-1] if may else None, bits, chunk_bytes).groupBy("print", "lang").agg(F.sum("n").alias("n")).where(F.col("print").isNull() | (F.col("n") >= least)), f"runs-{k}")
+        # tasks have added up their rows: they are dealt as they are, and a fingerprint's few sums meet in its partition
+        dealt = count_runs(docs, k, may[-1] if may else None, bits, chunk_bytes).repartition("print", "lang")
+        counted = stored(dealt.groupBy("print", "lang").agg(F.sum("n").alias("n")).where(F.col("print").isNull() | (F.col("n") >= least)), f"runs-{k}")
         if k == 1:
             totals = counted.where(F.col("print").isNull()).select("lang", "n")
             once = counted
         may.append(filter_of(counted.where(F.col("print").isNotNull()), filter_bits))
         if k > 1:
             forget(counted)
-    spelt = spell_runs(docs, may, bits, min(chunk_bytes * 8, SPELT)).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
+    spelt = spell_runs(docs, may, bits, min(chunk_bytes * 8, SPELT)).repartition("lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
     found = stored(spelt.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "n", "doc_id"), "phrases")
     totals = stored(totals, "words")
     forget(once)
