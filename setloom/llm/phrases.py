@@ -38,8 +38,8 @@ BLANKS = " \t"
 LONGEST = 3
 #: Bits of the filter of frequent fingerprints, and how many of them a task sends at once.
 FILTER_BITS, FILTER_PART = 27, 21
-#: Runs that a task holds before it adds them up, and the bytes of a chunk whose phrases are spelt together.
-HELD, SPELT = 1 << 18, 1 << 20
+#: Runs that a task holds before it adds them up.
+HELD = 1 << 18
 WORD = ~spans.byte_set(PIECE_ENDS + BLANKS)
 ENDS = spans.byte_set(PIECE_ENDS)
 
@@ -174,92 +174,136 @@ def count_runs(docs: DataFrame, k: int, may: Filter | None, bits: int = 64, chun
     return docs.select("lang", "text").mapInArrow(run, COUNTS)
 
 
-def same_words(chunk: spans.Chunk, prints: np.ndarray) -> np.ndarray:
-    """A number for each word of a chunk, equal for equal words only: words with one fingerprint are compared by bytes."""
-    _, first, number = np.unique(prints, return_index=True, return_inverse=True)
-    length = chunk.ends - chunk.starts
-    like = first[number]
-    odd = length != length[like]
-    ok = np.flatnonzero(~odd)
-    n = length[ok]
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    differs = chunk.data[np.repeat(chunk.starts[ok], n) + within] != chunk.data[np.repeat(chunk.starts[like[ok]], n) + within]
-    if differs.any():
-        odd[ok[np.add.reduceat(differs, np.cumsum(n) - n) > 0]] = True
-    known: dict[bytes, int] = {}
-    for i in np.flatnonzero(odd).tolist():
-        number[i] = known.setdefault(chunk.word(i), len(first) + len(known))
-    return number
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges [start, start + size), one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Words:
+    """Numbers of words of a task, equal for equal words only: words with one fingerprint are compared by their bytes."""
+
+    def __init__(self) -> None:
+        self.prints, self.numbers = np.zeros(0, "u8"), np.zeros(0, "i8")  # by fingerprint
+        self.bytes, self.ends = [np.zeros(0, "u1")], [np.zeros(0, "i8")]
+        self.count = self.size = 0
+        self.odd: dict[bytes, int] = {}  # words whose fingerprint another word had first
+
+    def arena(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all words one after the other, and where each starts, and the last ends."""
+        self.bytes, self.ends = [np.concatenate(self.bytes)], [np.concatenate(self.ends)]
+        return self.bytes[0], np.concatenate((np.zeros(1, "i8"), self.ends[0]))
+
+    def add(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        self.bytes.append(raw)
+        self.ends.append(self.size + np.cumsum(sizes))
+        self.size += len(raw)
+        self.count += len(sizes)
+        return np.arange(self.count - len(sizes), self.count)
+
+    def number(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        found, first, place = np.unique(prints, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.prints, found)
+        known = self.prints[np.minimum(at, len(self.prints) - 1)] == found if len(self.prints) else np.zeros(len(found), bool)
+        new = first[~known]
+        fresh = self.add(data[ranges(starts[new], sizes[new])], sizes[new])
+        numbers = np.zeros(len(found), "i8")
+        numbers[known], numbers[~known] = self.numbers[at[known]], fresh
+        self.prints, self.numbers = np.insert(self.prints, at[~known], found[~known]), np.insert(self.numbers, at[~known], fresh)
+        out = numbers[place]
+        arena, begins = self.arena()
+        odd = begins[out + 1] - begins[out] != sizes
+        same = np.flatnonzero(~odd)
+        differs = data[ranges(starts[same], sizes[same])] != arena[ranges(begins[out[same]], sizes[same])]
+        if differs.any():
+            odd[same[np.add.reduceat(differs, np.cumsum(sizes[same]) - sizes[same]) > 0]] = True
+        for i in np.flatnonzero(odd).tolist():
+            word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+            if word not in self.odd:
+                self.odd[word] = int(self.add(np.frombuffer(word, "u1"), sizes[i : i + 1])[0])
+            out[i] = self.odd[word]
+        return out
+
+    def spelt(self, numbers: list[np.ndarray]) -> pa.Array:
+        """Phrases of the words whose numbers stand at one place of each array, with a blank between words."""
+        arena, begins = self.arena()
+        sizes = [begins[x + 1] - begins[x] for x in numbers]
+        ends = np.cumsum(sum(sizes) + len(numbers) - 1)
+        out = np.full(int(ends[-1]), ord(" "), "u1")
+        at = np.concatenate(([0], ends[:-1]))
+        for x, n in zip(numbers, sizes):
+            out[ranges(at, n)] = arena[ranges(begins[x], n)]
+            at = at + n + 1
+        offsets = np.concatenate(([0], ends)).astype("i4")
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def counted(columns: list[np.ndarray], n: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows that are equal in all columns once, with the sum of n and the smallest doc. The first column is sorted by;
+    the others as well where they differ within one of its values."""
+    order = np.argsort(columns[0])
+    for _ in range(2):
+        held = [x[order] for x in columns]
+        step = held[0][1:] != held[0][:-1]
+        new = step.copy()
+        for x in held[1:]:
+            new |= x[1:] != x[:-1]
+        if (new == step).all():
+            break
+        order = np.lexsort(columns[::-1])
+    first = np.flatnonzero(np.concatenate(([True], new)))
+    return [x[first] for x in held], np.add.reduceat(n[order], first), np.minimum.reduceat(doc[order], first)
 
 
 PHRASES = "lang string, words int, phrase binary, n long, doc_id long"
 NONE = np.iinfo("i8").max
 
 
-def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes: int = SPELT) -> DataFrame:
+def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes: int = spans.CHUNK) -> DataFrame:
     """Rows of PHRASES by task: each run whose fingerprint may be frequent, counted by its text."""
     sent = docs.sparkSession.sparkContext.broadcast(may)  # LONGEST filters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, bytes], list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            lang, k, phrase = zip(*held)
-            n, doc = (np.array(x, "i8") for x in zip(*held.values()))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()), pa.array(n), pa.array(doc, mask=doc == NONE)], [x.split()[0] for x in PHRASES.split(", ")])
+        table, langs = Words(), {}
+        held: dict[int, list] = {k: [] for k in range(1, LONGEST + 1)}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal table
+            names = pa.array(list(langs), pa.string())
+            for k, parts in held.items():
+                if parts:
+                    columns, n, doc = counted([np.concatenate(x) for x in zip(*(p[0] for p in parts))], *(np.concatenate(x) for x in zip(*(p[1:] for p in parts))))
+                    for low in range(0, len(n), HELD):
+                        high = low + HELD
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(columns[1][low:high])), pa.array(np.full(len(n[low:high]), k), pa.int32()), table.spelt([x[low:high] for x in columns[2:]]), pa.array(n[low:high]), pa.array(doc[low:high], mask=doc[low:high] == NONE)], [x.split()[0] for x in PHRASES.split(", ")])
+                    parts.clear()
+            table = Words()
 
         for batch in slices(batches, rows=4096):
             names, tenant = tenants(batch.column("lang").to_pylist())
+            lang = np.array([langs.setdefault(x, len(langs)) for x in names], "i8")
             ids = batch.column("doc_id").fill_null(NONE).to_numpy()
             for chunk in spans.chunks(batch.column("text"), WORD, LONGEST - 1, chunk_bytes):
                 if not chunk.own:
                     continue
                 words = chunk.prints()
                 all_runs = runs(chunk, tenant, tuple(range(1, LONGEST + 1)), bits, words)
-                number = same_words(chunk, words if bits == 64 else words & np.uint64((1 << bits) - 1))
-                spelt: dict[int, bytes] = {}
+                # a frequent run's words are frequent; those after the last own one may be
+                asked = np.ones(len(words), bool)
+                asked[: chunk.own] = may[0](all_runs[0])
+                mine = np.flatnonzero(asked)
+                number = np.full(len(words), -1)
+                number[mine] = table.number(chunk.data, chunk.starts[mine], (chunk.ends - chunk.starts)[mine], words[mine] if bits == 64 else words[mine] & np.uint64((1 << bits) - 1))
                 for k, found in enumerate(all_runs, 1):
                     at = np.flatnonzero(may[k - 1](found))
-                    if not len(at):
-                        continue
-                    prints = found[at]
-                    order = np.argsort(prints)
-                    prints, at = prints[order], at[order]
-                    new = np.concatenate(([True], prints[1:] != prints[:-1]))
-                    # occurrences that share a fingerprint: are their languages and words the same?
-                    key = [tenant[chunk.rows[at]], *(number[at + j] for j in range(k))]
-                    differs = np.zeros(len(at), bool)
-                    for x in key:
-                        differs[1:] |= x[1:] != x[:-1]
-                    if (differs & ~new).any():
-                        order = np.lexsort((*key, prints))
-                        at = at[order]
-                        new = np.zeros(len(at), bool)
-                        new[0] = True
-                        for x in (*key, prints):
-                            new[1:] |= np.diff(x[order]) != 0
-                    first = np.flatnonzero(new)
-                    docs_of = np.minimum.reduceat(ids[chunk.rows[at]], first).tolist()
-                    for i, n, doc in zip(at[first].tolist(), np.diff(np.append(first, len(at))).tolist(), docs_of):
-                        spelling = []
-                        for j in number[i : i + k].tolist():
-                            word = spelt.get(j)
-                            if word is None:
-                                word = spelt[j] = chunk.word(i + len(spelling))
-                            spelling.append(word)
-                        mine = (names[chunk.rows[i]], k, b" ".join(spelling))
-                        seen = held.get(mine)
-                        if seen is None:
-                            held[mine] = [n, doc]
-                        else:
-                            seen[0] += n
-                            if doc < seen[1]:
-                                seen[1] = doc
-                if len(held) >= HELD:
-                    yield out()
-        if held:
-            yield out()
+                    at = at[np.all([number[at + j] >= 0 for j in range(k)], axis=0)]
+                    if len(at):
+                        held[k].append(counted([found[at], lang[chunk.rows[at]], *(number[at + j] for j in range(k))], np.ones(len(at), "i8"), ids[chunk.rows[at]]))
+            for k, parts in held.items():
+                if sum(len(p[1]) for p in parts) > 4 * HELD:
+                    held[k] = [counted([np.concatenate(x) for x in zip(*(p[0] for p in parts))], *(np.concatenate(x) for x in zip(*(p[1:] for p in parts))))]
+            if sum(len(p[1]) for parts in held.values() for p in parts) > 8 * HELD:
+                yield from out()
+        yield from out()
 
     return docs.mapInArrow(run, PHRASES)
 
@@ -280,7 +324,7 @@ def frequent_phrases(docs: DataFrame, least: int = 10, bits: int = 64, filter_bi
         may.append(filter_of(counted.where(F.col("print").isNotNull()), filter_bits))
         if k > 1:
             forget(counted)
-    spelt = spell_runs(docs, may, bits, min(chunk_bytes * 8, SPELT)).repartition("lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
+    spelt = spell_runs(docs, may, bits, 4 * chunk_bytes).repartition("lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
     found = stored(spelt.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "n", "doc_id"), "phrases")
     totals = stored(totals, "words")
     forget(once)
