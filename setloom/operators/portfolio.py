@@ -263,22 +263,26 @@ def popularity(main: str = "main") -> Column:
     return F.expr(f"aggregate({main}, 1.0D, (a, i) -> a * if(i <= 31, 1.3D, 0.8D)) * if(array_max({main}) - array_min({main}) <= 9, 1.5D, 1.0D)")
 
 
-def guarded_portfolio(pool: DataFrame, history: DataFrame, budget: int, kept: int = KEPT) -> DataFrame:
+def guarded_portfolio(pool: DataFrame, history: DataFrame, budget: int, kept: int = KEPT, modes: tuple[str, ...] = ("ablation", "guarded")) -> DataFrame:
     """mode, game, place, ticket_id, main, star, score: for each game the portfolio of pool(ticket_id, main, star) by reach,
     balance, crowd and guarded evidence; and the ablation, which is the same without the evidence, so alike in all games."""
     spark = pool.sparkSession
     games = [r["game"] for r in history.select("game").distinct().orderBy("game").collect()]
     crowd = pool.select("ticket_id", "main", "star", (-F.log(popularity() + 1e-12)).alias("crowd"), F.lit(0).alias("all"))
     crowd = stored(rank01(crowd, "all", "crowd", "crowd_rank").drop("all", "crowd"), "crowd")
-    each = history.select("game").distinct().crossJoin(crowd)  # each ticket once a game
-    signals = each.join(ticket_signals(pool, evidence(history)), ["game", "ticket_id"], "left").fillna(0.0, ["signal"])
-    rows = stored(rank01(signals, "game", "signal", "signal_rank"), "signals")
 
     def chosen(df: DataFrame, base: Column) -> list[dict]:
         return greedy(df.withColumn("base", base), budget, GUARDED, ["ticket_id"], kept=kept)
 
-    plain = chosen(crowd, CROWD * F.col("crowd_rank"))
-    out = [("ablation", g, plain) for g in games] + [("guarded", g, chosen(rows.where(F.col("game") == g), CROWD * F.col("crowd_rank") + SIGNAL * F.col("signal_rank"))) for g in games]
+    out = []
+    if "ablation" in modes:
+        plain = chosen(crowd, CROWD * F.col("crowd_rank"))
+        out += [("ablation", g, plain) for g in games]
+    if "guarded" in modes:
+        each = history.select("game").distinct().crossJoin(crowd)  # each ticket once a game
+        signals = each.join(ticket_signals(pool, evidence(history)), ["game", "ticket_id"], "left").fillna(0.0, ["signal"])
+        rows = stored(rank01(signals, "game", "signal", "signal_rank"), "signals")
+        out += [("guarded", g, chosen(rows.where(F.col("game") == g), CROWD * F.col("crowd_rank") + SIGNAL * F.col("signal_rank"))) for g in games]
     made = [(mode, g, i, r["ticket_id"], r["main"], r["star"], r["gain"]) for mode, g, found in out for i, r in enumerate(found, 1)]
     return spark.createDataFrame(made, "mode string, game string, " + CHOSEN)
 
