@@ -280,7 +280,7 @@ def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes:
 
         for batch in slices(batches, rows=4096):
             names, tenant = tenants(batch.column("lang").to_pylist())
-            lang = np.array([langs.setdefault(x, len(langs)) for x in names], "i8")
+            lang = np.array([langs.setdefault(x, len(langs)) for x in names], "i4")
             ids = batch.column("doc_id").fill_null(NONE).to_numpy()
             for chunk in spans.chunks(batch.column("text"), WORD, LONGEST - 1, chunk_bytes):
                 if not chunk.own:
@@ -291,7 +291,7 @@ def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes:
                 asked = np.ones(len(words), bool)
                 asked[: chunk.own] = may[0](all_runs[0])
                 mine = np.flatnonzero(asked)
-                number = np.full(len(words), -1)
+                number = np.full(len(words), -1, "i4")
                 number[mine] = table.number(chunk.data, chunk.starts[mine], (chunk.ends - chunk.starts)[mine], words[mine] if bits == 64 else words[mine] & np.uint64((1 << bits) - 1))
                 for k, found in enumerate(all_runs, 1):
                     at = np.flatnonzero(may[k - 1](found))
@@ -299,9 +299,9 @@ def spell_runs(docs: DataFrame, may: list[Filter], bits: int = 64, chunk_bytes:
                     if len(at):
                         held[k].append(counted([found[at], lang[chunk.rows[at]], *(number[at + j] for j in range(k))], np.ones(len(at), "i8"), ids[chunk.rows[at]]))
             for k, parts in held.items():
-                if sum(len(p[1]) for p in parts) > 4 * HELD:
+                if sum(len(p[1]) for p in parts) > 3 * HELD:
                     held[k] = [counted([np.concatenate(x) for x in zip(*(p[0] for p in parts))], *(np.concatenate(x) for x in zip(*(p[1:] for p in parts))))]
-            if sum(len(p[1]) for parts in held.values() for p in parts) > 8 * HELD:
+            if sum(len(p[1]) for parts in held.values() for p in parts) > 6 * HELD:
                 yield from out()
         yield from out()
 
