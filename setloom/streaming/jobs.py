@@ -96,9 +96,55 @@ def l3_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(settled(records, results)).select("user_id", "recorded_id", "settled_id", "value")
 
 
-QUERIES = {"l1_intake": l1_intake, "l2_online_counters": l2_online_counters, "l3_settled": l3_settled}
+#: Lengths of windows, their step where they slide, and the gap that ends a session.
+TUMBLE, SLIDE, GAP = "1 hour", "30 minutes", "20 minutes"
+KINDS_OF_WINDOW = ("tumbling", "sliding", "session")
+
+
+def windowed(stream: DataFrame, kind: str, late: str = LATE) -> DataFrame:
+    """user_id, start, end, n, total of each window of (user_id, ts, value). A window's state goes when the watermark has passed it."""
+    held = {"tumbling": F.window("ts", TUMBLE), "sliding": F.window("ts", TUMBLE, SLIDE), "session": F.session_window("ts", GAP)}[kind]
+    made = stream.withWatermark("ts", late).groupBy("user_id", held.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return made.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+
+
+def completed(made: DataFrame) -> DataFrame:
+    """Run a stream of windows to the end of its input and read the windows as they are then, open ones as well.
+
+    Each micro-batch replaces the result, as a table behind a dashboard would be. To append closed windows only, use written().
+    """
+    spark, folder = made.sparkSession, work_dir(made.sparkSession)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        newest.append(number)
+
+    newest: list[int] = []
+    made.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not newest:
+        return spark.createDataFrame([], made.schema)
+    return spark.read.schema(made.schema).parquet(f"{folder}/out/batch={newest[-1]}")
+
+
+def l4_streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and their value for each user in tumbling, sliding and session windows, counted as they stream in."""
+    out = None
+    for kind in KINDS_OF_WINDOW:
+        stream = events_stream(spark, sf_dir).select("user_id", "ts", "value")
+        one = completed(windowed(stream, kind)).select(F.lit(kind).alias("kind"), "user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n", F.round("total", 4).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {"l1_intake": l1_intake, "l2_online_counters": l2_online_counters, "l3_settled": l3_settled, "l4_streamed_windows": l4_streamed_windows}
 ORACLE_SQL = {
     "l1_intake": "select event_id, ts, user_id, event_type, value from events",
     "l2_online_counters": "select user_id, " + ", ".join(f"cast(count(*) filter (where event_type = '{k}') as bigint) as {k}" for k in KINDS) + ", max(event_id) as newest from events group by user_id",
     "l3_settled": "select a.user_id, a.event_id as recorded_id, b.event_id as settled_id, b.value from events a join events b on a.user_id = b.user_id and b.ts >= a.ts and b.ts <= a.ts + interval 1 hour where a.event_type = 'view' and b.event_type = 'purchase'",
+    "l4_streamed_windows": """with steps as (select user_id, ts, value, time_bucket(interval 1 hour, ts) as a, time_bucket(interval 30 minutes, ts) as b from events),
+parts as (select 'tumbling' as kind, user_id, a as start, a + interval 1 hour as "end", value from steps union all select 'sliding', user_id, b, b + interval 1 hour, value from steps union all select 'sliding', user_id, b - interval 30 minutes, b + interval 30 minutes, value from steps),
+gaps as (select user_id, ts, value, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 20 minutes then 0 else 1 end as opens, event_id from events),
+numbered as (select *, sum(opens) over (partition by user_id order by ts, event_id) as s from gaps)
+select kind, user_id, start, "end", count(*) as n, round(sum(value), 4) as total from parts group by kind, user_id, start, "end"
+union all select 'session', user_id, min(ts), max(ts) + interval 20 minutes, count(*), round(sum(value), 4) from numbered group by user_id, s""",
 }
