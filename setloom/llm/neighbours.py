@@ -42,17 +42,19 @@ class Index:
     def __init__(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows, self.x = ids[order], rows[order], np.ascontiguousarray(x[order])
-        squares = np.einsum("ij,ij->i", self.x, self.x)
+        # by a power of two, so that nothing is rounded: squares and single precision would overflow for large components
+        scaled = self.x * 2.0 ** -np.frexp(np.abs(self.x).max())[1]
+        squares = np.einsum("ij,ij->i", scaled, scaled)
         self.longest = float(np.sqrt(squares.max()))
         rng = np.random.default_rng(x.shape[1])
         self.axes = rng.standard_normal((x.shape[1] + 1, PROJECTIONS))
         more = np.sqrt(np.maximum(self.longest**2 - squares, 0))
-        at = (self.x @ self.axes[:-1] + more[:, None] * self.axes[-1]).T
+        at = (scaled @ self.axes[:-1] + more[:, None] * self.axes[-1]).T
         order = np.argsort(at, axis=1, kind="stable")
         self.sorted = np.take_along_axis(at, order, 1)
         self.place = np.empty(order.shape, "u4" if len(ids) > 1 << 16 else "u2")  # of each vector in each sorted array
         np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], 1)
-        self.rough = self.x.astype("f4")
+        self.rough = scaled.astype("f4")
 
     def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """In how many arrays each vector's place lies in the window [low, high)."""
@@ -66,7 +68,8 @@ class Index:
         n = len(self.ids)
         enough = min(n, k + 1 + int(VERIFIED * n))
         need = int(np.ceil(COLLISIONS * PROJECTIONS))
-        unit = q * (self.longest / np.sqrt(np.einsum("ij,ij->i", q, q)))[:, None]
+        scaled = q * 2.0 ** -np.frexp(np.abs(q).max(axis=1, keepdims=True))[1].astype("f8")
+        unit = scaled * (self.longest / np.sqrt(np.einsum("ij,ij->i", scaled, scaled)))[:, None]
         at = unit @ self.axes[:-1]
         bounds = []  # for each width: first and last place in each array, for all queries
         for w in WIDTHS:
@@ -87,10 +90,10 @@ class Index:
                     near = hit(step)
             found = np.flatnonzero(near)
             found = found[self.rows[found] != query_rows[i]]
-            rough = self.rough[found] @ q[i].astype("f4")
+            rough = self.rough[found] @ scaled[i].astype("f4")
             if len(found) > k:
                 least = np.partition(rough, len(found) - k)[len(found) - k]
-                slack = 1e-5 * self.longest * float(np.sqrt((q[i] * q[i]).sum()))
+                slack = 1e-5 * self.longest * float(np.sqrt((scaled[i] * scaled[i]).sum()))
                 found = found[rough >= least - slack]
             exact = (self.x[found] * q[i]).sum(1)
             best = np.lexsort((self.ids[found], -exact))[:k]

@@ -188,3 +188,19 @@ def test_mix_of_odd_rows(spark, monkeypatch):
         assert len(cut) <= 1  # one document at most is cut
     assert not mixing.mix(frame.limit(0)).collect()
     assert all(r.taken == 2 * r.size for r in mixing.mix(frame, share=(2, 1)).collect())
+
+
+@pytest.mark.parametrize("size", [1e25, 1e150, 1e-150])
+def test_neighbours_of_very_large_and_small_vectors(spark, size):
+    from pyspark.sql import functions as F
+
+    from setloom.llm import neighbours
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 16)) * size
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made = neighbours.search(rows, F.col("vec_id") % 20 == 0, k=5).collect()
+    found = {(r.query_id, r.vec_id): r.score for r in made}
+    assert len(found) == 20 * 5 and all(abs(s - x[q] @ x[v]) <= 1e-12 * np.abs(x[q] @ x[v]) + 1e-14 * size * size for (q, v), s in found.items())
+    best = {(q, int(v)) for q in range(0, 400, 20) for v in np.argsort(-np.where(np.arange(400) == q, -np.inf, x @ x[q]))[:5]}
+    assert len(best & {*found}) >= 0.9 * len(best)
