@@ -6,6 +6,10 @@ window around its own projection in each array; a vector collides where it lies
 step (virtual rehashing: nothing is hashed anew) until enough vectors have collided in at least COLLISIONS of the
 arrays; those are verified with exact inner products. The last window is unbounded, so no vector is out of reach.
 
+How many are enough is fitted in each block: up to SAMPLE of its queries are compared with the whole block, and the
+smallest of SHARES is taken with which these queries find RECALL of their nearest vectors. So data of other dimensions or
+without clusters are verified more, up to the whole block, and easy data less.
+
 Queries and candidates are dealt into blocks of bounded size and each query block meets each candidate block in a task
 of its own; the best of each are merged. Vectors that are null, empty, zero or hold null or non-finite components take
 no part; vectors of different lengths never meet. Ties go to the smaller vec_id. Rows that share a vec_id and a vector
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PROJECTIONS = 64
-#: Share of the projections in which a vector must collide, and share of a block that is verified at least.
-COLLISIONS, VERIFIED = 0.75, 0.35
+#: Share of the projections in which a vector must collide.
+COLLISIONS = 0.75
+#: Queries of a block that its fit uses, shares of the block to verify that are tried, and mean recall that is asked.
+SAMPLE, SHARES, RECALL = 32, (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.35, 0.45, 0.55, 0.65, 0.8), 0.96
 #: Half widths of the windows, in lengths of the longest vector.
 WIDTHS = (0.8, 0.95, 1.1, 1.25, 1.4, 1.6, 1.9, 2.3, np.inf)
 BLOCK, QUERIES = 8192, 1024
@@ -63,10 +69,25 @@ class Index:
         inside[high - low > np.iinfo(kind).max] = True
         return np.add.reduce(inside.view("u1"), axis=0, dtype="u1")  # at most 255 projections
 
+    def fitted(self, query_rows: np.ndarray, q: np.ndarray, bounds: list[tuple[np.ndarray, np.ndarray]], need: int, k: int) -> int:
+        """The number of vectors to verify with which a sample of the queries finds RECALL of its k nearest."""
+        n = len(self.ids)
+        levels = np.array([min(n, k + 1 + int(s * n)) for s in SHARES])
+        kept, asked = np.zeros(len(levels)), 0
+        for i in range(min(SAMPLE, len(q))):
+            exact = np.where(self.rows == query_rows[i], -np.inf, self.x @ q[i])
+            nearest = np.argpartition(-exact, min(k, n) - 1)[:k]
+            nearest = nearest[self.rows[nearest] != query_rows[i]]
+            hits = [self.collisions(low[i], high[i]) >= need for low, high in bounds]
+            counts = np.maximum.accumulate([np.count_nonzero(h) for h in hits])
+            found = np.array([np.count_nonzero(h[nearest]) for h in hits])
+            kept += found[np.searchsorted(counts, levels)]
+            asked += len(nearest)
+        good = np.flatnonzero(kept >= RECALL * asked)
+        return int(levels[good[0]]) if len(good) else n
+
     def search(self, query_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """query row, vec_id and exact inner product of the k best verified of each query, unordered."""
-        n = len(self.ids)
-        enough = min(n, k + 1 + int(VERIFIED * n))
         need = int(np.ceil(COLLISIONS * PROJECTIONS))
         scaled = q * 2.0 ** -np.frexp(np.abs(q).max(axis=1, keepdims=True))[1].astype("f8")
         unit = scaled * (self.longest / np.sqrt(np.einsum("ij,ij->i", scaled, scaled)))[:, None]
@@ -76,6 +97,7 @@ class Index:
             low = np.stack([np.searchsorted(self.sorted[j], at[:, j] - w * self.longest, "left") for j in range(PROJECTIONS)], 1)
             high = np.stack([np.searchsorted(self.sorted[j], at[:, j] + w * self.longest, "right") for j in range(PROJECTIONS)], 1)
             bounds.append((low, high))
+        enough = self.fitted(query_rows, q, bounds, need, k)
         out: list[tuple] = []
         step = 0
         for i in range(len(q)):

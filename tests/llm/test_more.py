@@ -148,3 +148,16 @@ def test_neighbours_of_rows_that_share_an_id(spark):
     for r in sorted(made, key=lambda r: r["rank"]):
         lists.setdefault(r["query"], []).append((r.vec_id, r.score))
     assert sorted(lists.values()) == [[(1, 1.0), (3, 0.5)], [(1, 2.0), (0, 0.0)]]
+
+
+@pytest.mark.parametrize("dim", [16, 64, 256])
+def test_neighbours_recall_without_clusters(dim):
+    rng = np.random.default_rng(dim)
+    x, ids = rng.standard_normal((2000, dim)), np.arange(2000)
+    asks = ids % 20 == 0
+    query, vec_id, _ = neighbours.Index(ids, x, ids).search(ids[asks], x[asks], 20)
+    found = {*zip(query.tolist(), vec_id.tolist())}
+    exact = x[asks] @ x.T
+    exact[np.arange(100), ids[asks]] = -np.inf
+    true = {(int(q), int(v)) for q, best in zip(ids[asks], np.argsort(-exact, axis=1)[:, :20]) for v in best}
+    assert len(found) == 2000 and len(found & true) >= 0.9 * len(true)
