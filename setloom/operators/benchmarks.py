@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from setloom.plans.draws import MAIN_K, MAIN_N, draws, table
 from setloom.sources.storage import stored
 
+from . import filters
 from .branches import WARM_UP, branch_frame, rounded, totient, validity_steps
 from .levels import chosen, drawn
 from .portfolio import STAR_K, STAR_N, components
@@ -162,9 +163,9 @@ def judged(listed: DataFrame, sets: DataFrame, prizes: DataFrame | None = None,
     hits = both.join(now, ["game", "t"]).withColumn("balls", balls).withColumn("stars", stars)
     hits = hits.join(F.broadcast(prizes), ["balls", "stars"], "left") if prizes is not None else hits.withColumn("prize", F.lit(0.0))  # 18 tiers
     best = F.max(F.struct("balls", "stars", -F.col("place"))).alias("best")
-    made = hits.groupBy("game", "t", "method", "target", "gap", "size").agg(best, F.sum(F.coalesce("prize", F.lit(0.0))).alias("won"))
+    made = hits.groupBy("game", "t", "method", "target", "gap", "size").agg(best, F.sum(F.coalesce("prize", F.lit(0.0))).alias("won"), F.count_if(F.col("prize") > 0).alias("winning"), F.max(F.struct("balls", "stars", F.coalesce("prize", F.lit(0.0)))).alias("top"))
     place = (-F.col("best").getField("col3")).alias("best_place")
-    return made.select("game", "t", "method", "target", "gap", "size", F.col("best.balls").alias("balls"), F.col("best.stars").alias("stars"), place, (F.col("size") * price).alias("spent"), "won")
+    return made.select("game", "t", "method", "target", "gap", "size", F.col("best.balls").alias("balls"), F.col("best.stars").alias("stars"), place, (F.col("size") * price).alias("spent"), "won", "winning", F.col("top.col3").alias("best_prize"))
 
 
 def method_table(steps: DataFrame) -> DataFrame:
@@ -189,6 +190,75 @@ def benchmark(history: DataFrame, holdout: int = HOLDOUT, top: int = TOP, mode:
     return stored(judged(shortlists(stored(counts_at(sets, ends), "counts"), aims, top), sets, prizes), "judged")
 
 
+def variance_series(frame: DataFrame, ends: DataFrame, held: int = WARM_UP) -> tuple[DataFrame, DataFrame]:
+    """The draws before each cut-off as a series of its own, of least squares of the index on t and Friday: key
+    `game` (game and cut-off), t, eps, before, season, variance; and the model's value `ahead` at each cut-off.
+    A cut-off without `held` earlier draws has none. Each draw is there once for each cut-off of the holdout."""
+    x = [F.lit(1.0), F.col("t") / F.col("n"), (F.dayofweek("draw_date") == 6).cast("double"), F.col("poi") - F.col("centre")]
+    rows = frame.join(F.broadcast(ends), "game").select("game", "t", "n", "start", "poi", "centre", "draw_date")  # a row per game
+    cut = F.explode(F.sequence(F.greatest("start", F.col("t") + 1), F.col("n"))).alias("cut")
+    past = stored(rows.where("t < n").select("*", cut).select("game", "cut", "t", "poi", "centre", *(c.alias(f"x{i}") for i, c in enumerate(x)), F.dayofyear("draw_date").alias("day")), "past")
+    sums = past.groupBy("game", "cut").agg(F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in PARTS)).alias("sums"))
+
+    def run(frames):
+        for made in frames:
+            out = []
+            for r in made.itertuples():
+                gram = np.zeros((4, 4))
+                for (i, j), v in zip(PARTS, r.sums):
+                    gram[i, j] = gram[j, i] = v
+                if gram[0, 0] >= held:
+                    b = np.linalg.lstsq(gram[:3, :3], gram[:3, 3], rcond=1e-12)[0]
+                    out.append((r.game, r.cut, b.tolist(), max(float(np.append(-b, 1) @ gram @ np.append(-b, 1)) / gram[0, 0], 1e-12)))
+            yield pd.DataFrame(out, columns=["game", "cut", "b", "variance"])
+
+    fitted = stored(sums.mapInPandas(run, "game string, cut long, b array<double>, variance double"), "means")  # a row per cut-off
+    mean = lambda c: sum(F.col("b")[i] * c[i] for i in range(3))
+    key = F.concat_ws("|", "game", "cut").alias("game")
+    eps = past.join(F.broadcast(fitted), ["game", "cut"]).select(key, "t", (F.col("x3") - mean([F.col(f"x{i}") for i in range(3)])).alias("eps"), F.sin(F.col("day") * (2 * np.pi / 365.25)).alias("season"), "variance")
+    eps = stored(eps, "residuals")
+    before = eps.select("game", (F.col("t") + 1).alias("t"), F.col("eps").alias("before"))
+    series = eps.join(before, ["game", "t"], "left").fillna(0.0, ["before"])
+    ahead = rows.withColumn("cut", F.col("t")).join(F.broadcast(fitted), ["game", "cut"])
+    return series, ahead.select("game", "cut", key.alias("key"), (mean(x[:3]) + F.col("centre")).alias("ahead"))
+
+
+def variance_targets(frame: DataFrame, ends: DataFrame, params: pd.DataFrame | None = None) -> DataFrame:
+    """AIMS of each cut-off: the mean model's value plus the deviation of the variance filter with the smallest AIC times
+    the mean of its standardised residuals, rounded, at least 1. `frame` has game, t, poi and draw_date."""
+    params = filters.grid() if params is None else params
+    series, ahead = variance_series(frame, ends)
+    series = stored(series, "variance-series")
+    best = stored(filters.variance_fit(series, params).groupBy("game").agg(F.min_by(F.struct("id", "next_variance"), F.struct("aic", "id")).alias("x")).select("game", "x.*"), "variance-best")
+    shift = filters.variance_path(series, params).where("t > 1").join(F.broadcast(best), ["game", "id"]).groupBy("game", "next_variance").agg(F.avg("z").alias("location"))  # a row per cut-off
+    value = F.col("ahead") + F.sqrt("next_variance") * F.coalesce("location", F.lit(0.0))
+    return ahead.join(shift.withColumnRenamed("game", "key"), "key").select("game", F.col("cut").alias("t"), F.lit("variance").alias("method"), F.greatest(F.lit(1), F.rint(value).cast("long")).alias("target"))
+
+
+def return_table(steps: DataFrame, index: DataFrame) -> DataFrame:
+    """Cost, prizes and errors of each method over its steps, the best return first; ties go to the first name.
+    `index` has game, t and poi, the index that a target is held against."""
+    met = steps.join(index.select("game", "t", "poi"), ["game", "t"])
+    profit = F.col("won") - F.col("spent")
+    made = met.groupBy("method").agg(
+        F.count("*").alias("steps"), F.sum("spent").alias("spent"), F.sum("won").alias("won"), F.sum(profit).alias("profit"), (F.sum(profit) / F.sum("spent")).alias("roi"), F.avg("won").alias("mean_won"), F.avg(profit).alias("mean_profit"),
+        F.avg("balls").alias("mean_balls"), F.avg("stars").alias("mean_stars"), F.avg("best_prize").alias("mean_best_prize"), F.avg("winning").alias("mean_winning"), F.avg((F.col("won") > 0).cast("int")).alias("any_prize"), F.avg((profit >= 0).cast("int")).alias("break_even"),
+        F.avg((F.col("balls") == 5).cast("int")).alias("exact_main"), F.avg(((F.col("balls") == 5) & (F.col("stars") == 2)).cast("int")).alias("exact"), F.avg("gap").alias("mean_gap"), F.avg(F.abs(F.col("target") - F.col("poi"))).alias("mean_error"), F.avg("size").alias("mean_size"),
+    )
+    return made.withColumn("place", F.row_number().over(Window.orderBy(F.desc("roi"), "method")))  # a row per method
+
+
+def return_benchmark(history: DataFrame, prizes: DataFrame, holdout: int = HOLDOUT, top: int = TOP, mode: str = "pruned") -> DataFrame:
+    """`return_table` of the variance filter's, the branches' and the reverse growth's targets at each game's last draws."""
+    frame = branch_frame(history)
+    ends = span(frame, holdout)
+    dated = frame.select("game", "t", "poi").join(history.select("game", "t", "draw_date"), ["game", "t"])
+    aims = stored(variance_targets(dated, ends).unionByName(branch_targets(frame, holdout, mode)).unionByName(reverse_growth(frame, ends)), "aims")
+    sets = drawn(history)
+    listed = shortlists(stored(counts_at(sets, ends), "counts"), aims, top)
+    return return_table(stored(judged(listed, sets, prizes), "judged"), frame)
+
+
 def prize_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """balls, stars, prize: the largest price of the parts of a tier."""
     return table(spark, sf_dir, "part").groupBy((F.col("p_size") % 6).cast("int").alias("balls"), (F.col("p_partkey") % 3).cast("int").alias("stars")).agg(F.max("p_retailprice").cast("double").alias("prize"))
@@ -199,4 +269,9 @@ def e4_branch_against_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame
     return rounded(benchmark(draws(spark, sf_dir), 4, prizes=prize_tiers(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"e4_branch_against_diagnostics": e4_branch_against_diagnostics}
+def e5_return_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return of the three target rules' 25 tickets over the last four draws of each game."""
+    return rounded(return_benchmark(draws(spark, sf_dir), prize_tiers(spark, sf_dir), 4))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (e4_branch_against_diagnostics, e5_return_benchmark)}

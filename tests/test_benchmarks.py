@@ -84,3 +84,35 @@ def test_nothing_to_judge(spark):
     listed = benchmarks.shortlists(spark.createDataFrame([], "game string, t long, pairs array<struct<kind:string,a:int,b:int,n:long>>"), spark.createDataFrame([], benchmarks.AIMS), 5, SPEC)
     assert not benchmarks.judged(listed, sets).collect()
     assert not benchmarks.method_table(benchmarks.judged(listed, sets)).where(F.col("steps") > 0).collect()
+
+
+def test_variance_targets_equal_refits(spark):
+    """The mean model refitted, and the filter run step by step, at each of five cut-offs."""
+    from datetime import date, timedelta
+
+    from setloom.operators import filters
+
+    rng = np.random.default_rng(2)
+    poi = (np.arange(60) * 1.5 + rng.normal(0, 8, 60) * (1 + np.arange(60) % 7 / 4)).round().astype(int) + 40
+    days = [date(2020, 1, 3) + timedelta(days=(4 if t % 2 else 0) + 7 * (t // 2)) for t in range(60)]
+    frame = spark.createDataFrame([("g", t, int(v), d) for t, (v, d) in enumerate(zip(poi, days), 1)], "game string, t long, poi long, draw_date date")
+    params = filters.grid().iloc[::5].reset_index(drop=True)
+    made = {r.t: r.target for r in benchmarks.variance_targets(frame, benchmarks.span(frame, 5), params).collect()}
+    assert {*made} == {*range(56, 61)}
+    for t, target in made.items():
+        x = np.stack((np.ones(t), np.arange(1, t + 1), [d.weekday() == 4 for d in days[:t]]), axis=1).astype(float)
+        b = np.linalg.lstsq(x[:-1], poi[: t - 1], rcond=None)[0]
+        eps = poi[: t - 1] - x[:-1] @ b
+        spread = np.mean(eps**2)
+        season = [np.sin(2 * np.pi * d.timetuple().tm_yday / 365.25) for d in days]
+        best = None
+        for p in params.itertuples():
+            omega = np.log(p.scale * (1 - p.alpha - p.beta * p.order) * spread)
+            held = [spread]
+            for i in range(1, t):
+                level = np.exp(omega + p.gamma * (season[i] if i < t - 1 else 0.0)) + filters.FLOOR
+                held.append(level + p.alpha * eps[i - 1] ** 2 + p.beta * sum(held[max(0, i - p.order) :][-p.order :]))
+            ll = sum(filters.constant(p.nu) - 0.5 * np.log(v) - (p.nu + 1) / 2 * np.log1p(e * e / v / (p.nu - 2)) for e, v in list(zip(eps, held))[1:])
+            one = (2 * (p.order + 4) - 2 * ll, p.id, held[-1], np.mean(eps[1:] / np.sqrt(held[1:-1])))
+            best = min(best, one) if best else one
+        assert abs(target - max(1, x[-1] @ b + np.sqrt(best[2]) * best[3])) <= 0.5 + 1e-6
