@@ -6,7 +6,7 @@ import pytest
 
 from setloom import catalog
 
-FAST = ["a4_top_pairs", "j1_settle", "a12_settlement_summary", "s1_header_csv", "s2_positional_csv", "s3_number_text", "s6_text_lines", "s9_prize_map", "s11_jackpots", "s12_upsert", "s13_record_lines", "s15_proposals", "e1_forward_benchmark", "b7_low_overlap", "a13_result_rows", "a25_dataset_digest", "j7_prizes", "j12_overlap", "u2_new_items", "w9_frequency_z", "w10_recency", "w12_item_features", "w14_rolling_correlation", "w21_shortlists", "h2_totient", "a17_within_step_null", "w1_causal_poi", "a3_pair_counts", "a1_item_frequency", "a5_replicated_evidence", "p4_regime_cut", "j6_nearest_level", "w7_coprime_branches", "w17_spend_cap", "h1_gcd", "h3_ticket_rank", "a16_label_shuffle", "w3_poi_by_block", "w11_decayed_heat", "a30_seasonal_profile", "a32_candidate_score", "h4_hit_distribution", "h6_halton", "h7_tier_counts", "t4_match_cap", "s4_infer_roles", "s7_dates_in_words", "s8_remap_rows", "s10_prize_rows", "b2_unpopular_tickets", "b8_quasi_random", "e3_split_eras", "e8_policy_search", "e9_model_table", "b4_stationary_rank", "l1_intake", "l2_online_counters", "l3_settled", "l4_streamed_windows", "m4_variance_grid", "m5_regimes", "a5_evidence_families", "a25_verified", "a25_delta", "a26_tampered", "w7_branch_frame", "w7_branch_frame_modular", "w8_training_frame", "a6_fairness", "a7_coverage_full", "a22_ranking_metrics", "a28_ljung_box", "w9_frequency_windows", "h3_unranked", "j4_scored_universe", "j5_universe_with_stars", "e1_equal_budget"]
+FAST = ["a4_top_pairs", "j1_settle", "a12_settlement_summary", "s1_header_csv", "s2_positional_csv", "s3_number_text", "s6_text_lines", "s9_prize_map", "s11_jackpots", "s12_upsert", "s13_record_lines", "s15_proposals", "e1_forward_benchmark", "b7_low_overlap", "a13_result_rows", "a25_dataset_digest", "j7_prizes", "j12_overlap", "u2_new_items", "w9_frequency_z", "w10_recency", "w12_item_features", "w14_rolling_correlation", "w21_shortlists", "h2_totient", "a17_within_step_null", "w1_causal_poi", "a3_pair_counts", "a1_item_frequency", "a5_replicated_evidence", "p4_regime_cut", "j6_nearest_level", "w7_coprime_branches", "w17_spend_cap", "h1_gcd", "h3_ticket_rank", "a16_label_shuffle", "w3_poi_by_block", "w11_decayed_heat", "a30_seasonal_profile", "a32_candidate_score", "h4_hit_distribution", "h6_halton", "h7_tier_counts", "t4_match_cap", "s4_infer_roles", "s7_dates_in_words", "s8_remap_rows", "s10_prize_rows", "b2_unpopular_tickets", "b8_quasi_random", "e3_split_eras", "e8_policy_search", "e9_model_table", "b4_stationary_rank", "l1_intake", "l2_online_counters", "l3_settled", "l4_streamed_windows", "m4_variance_grid", "m5_regimes", "a5_evidence_families", "a25_verified", "a25_delta", "a26_tampered", "w7_branch_frame", "w7_branch_frame_modular", "w8_training_frame", "a6_fairness", "a7_coverage_full", "a22_ranking_metrics", "a28_ljung_box", "w9_frequency_windows", "h3_unranked", "j4_scored_universe", "j5_universe_with_stars", "e1_equal_budget", "p1_violations", "s5_draw_pages"]
 
 
 def rows(values):
