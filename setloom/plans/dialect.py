@@ -54,6 +54,10 @@ class Spark:
     def matches(self, text: str, pattern: str) -> str:
         return f"explode(regexp_extract_all({text}, '{pattern}', 1))"
 
+    def total(self, x: str) -> str:
+        """A sum of longs that may pass 63 bits."""
+        return f"sum(cast({x} as decimal(38, 0)))"
+
     def bits(self, x: str) -> str:
         return f"bit_count({x})"
 
@@ -92,5 +96,8 @@ class Duck(Spark):
     def gcd(self, a: str, b: str) -> str:
         return f"cast(gcd({a}, {b}) as bigint)"
 
+    def total(self, x: str) -> str:
+        return f"sum({x})"
+
     def matches(self, text: str, pattern: str) -> str:
         return f"unnest(regexp_extract_all({text}, '{pattern}', 1))"
