@@ -21,7 +21,7 @@ from setloom.plans.views import DRAWS, LONG, domain, with_
 from setloom.sources.storage import stored
 
 from .benchmarks import prize_tiers
-from .forward import METHODS, VARIANCE, WARM_UP, causal_panel
+from .forward import METHODS, VARIANCE, WARM_UP, causal_lists
 from .portfolio import STAR_K, STAR_N
 
 BUDGET, PRICE = 6, 2.5
@@ -39,10 +39,9 @@ def portfolios(history: DataFrame, budget: int, warm_up: int = WARM_UP) -> DataF
     One shuffle brings a draw's items together; tickets are made within its row.
     """
     main = F.array(*(f"b{i}" for i in range(1, MAIN_K + 1)))
-    cell = F.struct("item", "seen", F.coalesce("last", F.lit(0)).alias("last"))
-    parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: the work is in the tickets, not in the rows' bytes
-    cells = causal_panel(history).where(F.col("t") > warm_up).repartition(parts, "game", "t").groupBy("game", "t").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    made = history.select("game", "t", main.alias("drawn"), F.array("s1", "s2").alias("stars")).join(cells, ["game", "t"])
+    cells = F.expr("transform(arrays_zip(seen, last), (x, i) -> named_struct('item', i + 1, 'seen', x.seen, 'last', coalesce(x.last, 0)))").alias("cells")
+    lists = causal_lists(history).where(F.col("t") > warm_up).select("game", "t", cells)
+    made = history.select("game", "t", main.alias("drawn"), F.array("s1", "s2").alias("stars")).join(lists, ["game", "t"])
     key = f"-ln(1.0 - {_chance('e1b:', 'game', 't', 'j', 'c.item')})"
     made = made.withColumn("keys", F.expr(f"transform(sequence(1, {budget}), j -> transform(cells, c -> {key}))"))
     star = f"slice(array_sort(transform(sequence(1, {STAR_N}), s -> named_struct('k', {_chance('e1s:', 'game', 't', 'j', 's')}, 's', s))), 1, {STAR_K})"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,31 +16,61 @@ from setloom.plans.views import DRAWS, LONG, domain, tickets, with_
 from setloom.sources.jobs import ticket_sets
 from setloom.sources.storage import stored
 
-#: Draws of a block, in which earlier draws are counted by a window; earlier blocks are added as sums.
-BLOCK = 256
+#: Draws of a block, in which earlier draws are counted by running sums; earlier blocks are added as sums.
+BLOCK = 1 << 11
 #: Draws before the first cut-off.
 WARM_UP = 50
 METHODS = ("frequency", "overdue", "uniform")
 VARIANCE = MAIN_K * (MAIN_K / MAIN_N) * (1 - MAIN_K / MAIN_N) * (MAIN_N - MAIN_K) / (MAIN_N - 1)
 
 
-def causal_panel(rows: DataFrame) -> DataFrame:
-    """game, t, item, y (drawn), seen and last (draws with the item before t, and the latest of them or null).
+PANEL = "game string, t long, y array<int>, seen array<long>, last array<long>"
+
+
+def causal_lists(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """PANEL: a row per draw; of each item in order y (drawn), seen and last (draws with it before t, and the latest or null).
 
-    No window is longer than a block, and the sums of blocks are one row per block and item.
+    Draws are dealt into blocks of `size` consecutive t. The sums of earlier blocks are one row per block and item, and
+    within a block the counts are running sums of a matrix, so that one shuffle of draws is all there is.
     """
-    main = F.array(*(f"b{i}" for i in range(1, MAIN_K + 1)))
-    block = F.floor(F.col("t") / BLOCK).cast("long").alias("block")
-    cells = rows.select("game", "t", block, main.alias("main"), F.explode(F.sequence(F.lit(1), F.lit(MAIN_N))).alias("item"))
-    cells = cells.select("game", "t", "block", "item", F.array_contains("main", F.col("item")).cast("int").alias("y"))
-    at = F.when(F.col("y") == 1, F.col("t"))
-    sums = cells.groupBy("game", "block", "item").agg(F.sum("y").alias("n"), F.max(at).alias("latest"))
-    earlier = Window.partitionBy("game", "item").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("game", "block", "item", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.max("latest").over(earlier).alias("base_last"))
-    inside = Window.partitionBy("game", "block", "item").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    met = cells.withColumn("within", F.coalesce(F.sum("y").over(inside), F.lit(0))).withColumn("within_last", F.max(at).over(inside))
-    met = met.join(before, ["game", "block", "item"])
-    return met.select("game", "t", "item", "y", (F.col("base") + F.col("within")).alias("seen"), F.coalesce("within_last", "base_last").alias("last"))
+    block = F.floor((F.col("t") - 1) / size).cast("long").alias("block")
+    drawn = rows.select("game", "t", block, *(F.col(f"b{i}").cast("long").alias(f"b{i}") for i in range(1, MAIN_K + 1)))
+    names = ["t", *(f"b{i}" for i in range(1, MAIN_K + 1))]
+    blocks = drawn.groupBy("game", "block").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rows"))
+    one = drawn.select("game", "t", "block", F.explode(F.array_distinct(F.array(*names[1:]))).alias("item")).where(F.col("item").between(1, MAIN_N))
+    sums = one.groupBy("game", "block", "item").agg(F.count("*").alias("n"), F.max("t").alias("latest"))
+    earlier = Window.partitionBy("game", "item").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    cells = drawn.select("game", "block").distinct().withColumn("item", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(MAIN_N).cast("long"))))
+    before = cells.join(sums, ["game", "block", "item"], "left").select("game", "block", F.struct("item", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.max("latest").over(earlier), F.lit(0)).alias("latest")).alias("x"))
+    before = before.groupBy("game", "block").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    met = blocks.join(before, ["game", "block"]).select("game", *(F.col("rows")[c].alias(c) for c in names), F.col("x.n").alias("n"), F.col("x.latest").alias("latest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                value = lambda c, one=one: one.column(c).flatten().fill_null(0).to_numpy(zero_copy_only=False)
+                t = value("t")
+                y = np.zeros((len(t), MAIN_N), "i4")
+                for c in names[1:]:
+                    item = value(c)
+                    known = np.flatnonzero((item >= 1) & (item <= MAIN_N))
+                    y[known, item[known] - 1] = 1
+                seen = value("n") + np.cumsum(y, axis=0, dtype="i8") - y
+                last = np.maximum.accumulate(np.vstack((value("latest"), np.where(y == 1, t[:, None], 0)[:-1])), axis=0).ravel()
+                starts = pa.array(np.arange(0, y.size + 1, MAIN_N), pa.int32())
+                lists = [pa.ListArray.from_arrays(starts, x) for x in (pa.array(y.ravel()), pa.array(seen.ravel()), pa.array(last, mask=last == 0))]
+                game = pa.array([one.column("game")[0].as_py()] * len(t), pa.string())
+                yield pa.RecordBatch.from_arrays([game, pa.array(t), *lists], ["game", "t", "y", "seen", "last"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: what comes out is many times what goes in
+    return met.repartition(parts, "game", "t").mapInArrow(run, PANEL)
+
+
+def causal_panel(rows: DataFrame) -> DataFrame:
+    """game, t, item, y (drawn), seen and last (draws with the item before t, and the latest of them or null)."""
+    made = causal_lists(rows).select("game", "t", F.posexplode(F.arrays_zip("y", "seen", "last")).alias("at", "x"))
+    return made.select("game", "t", (F.col("at") + 1).alias("item"), "x.y", "x.seen", "x.last")
 
 
 def e1_forward_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +78,12 @@ def e1_forward_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The headline is the method with the most hits; ties go to the first name.
     """
-    panel = causal_panel(draws(spark, sf_dir)).where(F.col("t") > WARM_UP)
-    chance = F.expr(Spark().u("concat('e1:', game, ':', cast(t as varchar(20)), ':', cast(item as varchar(9)))"))
-    orders = {"frequency": [F.desc("seen"), F.asc("item")], "overdue": [F.coalesce("last", F.lit(0)).asc(), F.asc("item")], "uniform": [chance.asc(), F.asc("item")]}
-    draw = Window.partitionBy("game", "t")
-    ranked = panel.select("game", "t", "y", *(F.row_number().over(draw.orderBy(*orders[m])).alias(m) for m in METHODS))
-    sums = ranked.groupBy("game").agg((F.sum(F.when(F.col("uniform") == 1, 1)).cast("long")).alias("draws"), *(F.sum(F.when(F.col(m) <= MAIN_K, F.col("y")).otherwise(0)).alias(m) for m in METHODS))
+    panel = causal_lists(draws(spark, sf_dir)).where(F.col("t") > WARM_UP)
+    chance = Spark().u("concat('e1:', game, ':', cast(t as varchar(20)), ':', cast(i + 1 as varchar(9)))")
+    keys = {"frequency": "-seen[i]", "overdue": "coalesce(last[i], 0)", "uniform": chance}
+    best5 = "aggregate(slice(array_sort(transform(sequence(0, {n} - 1), i -> named_struct('k', {k}, 'i', i))), 1, {m}), 0, (s, c) -> s + y[c.i])"
+    hits = panel.select("game", *(F.expr(best5.format(n=MAIN_N, k=k, m=MAIN_K)).alias(m) for m, k in keys.items()))  # within a draw's row
+    sums = hits.groupBy("game").agg(F.count("*").alias("draws"), *(F.sum(m).alias(m) for m in METHODS))
     rows = sums.select("game", "draws", F.col("uniform").alias("control"), F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("hits")) for m in METHODS))).alias("x")).select("game", "draws", "control", "x.*")
     best = F.row_number().over(Window.partitionBy("game").orderBy(F.desc("hits"), "method")) == 1
     mean = F.col("hits") / F.col("draws")

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +22,7 @@ from setloom.plans.views import COUNTS, DRAWS, LONG, PAIRS, domain, tickets, wit
 from setloom.sources.jobs import ticket_sets
 from setloom.sources.storage import stored
 
-from .forward import causal_panel
+from .forward import causal_lists
 from .levels import chosen, drawn, pair_table
 from .portfolio import STAR_K, STAR_N
 
@@ -156,26 +157,30 @@ def frequency_windows(history: DataFrame, windows: tuple[int, ...] = WINDOWS) ->
     The counts of a draw are one array. A draw hands it on to the draws whose windows end there, so all windows cost one
     shuffle of arrays, and none of them is a frame of rows.
     """
-    per = F.array_sort(F.collect_list(F.struct("item", "seen"))).alias("x")
-    counts = causal_panel(history).groupBy("game", "t").agg(per).select("game", "t", F.transform("x", lambda s: s["seen"].cast("int")).alias("seen"))
-    counts = stored(counts, "seen")  # an array of 50 for each draw
+    counts = stored(causal_lists(history).select("game", "t", "seen"), "seen")  # an array of 50 for each draw
     moved = counts.select("game", F.explode(F.array(*(F.struct((F.col("t") + w).alias("t"), F.lit(w).alias("w")) for w in (0, *windows)))).alias("m"), "seen").select("game", "m.t", "m.w", "seen")
     at = {w: F.max(F.when(F.col("w") == w, F.col("seen"))).alias(f"s{w}") for w in (0, *windows)}
     met = moved.groupBy("game", "t").agg(*at.values()).where("s0 is not null")
-    zero = F.array_repeat(F.lit(0), MAIN_N)
-    counted = {"z_all": F.col("s0"), **{f"z{w}": F.zip_with("s0", F.coalesce(f"s{w}", zero), lambda a, b: a - b) for w in windows}}
-    lists = met.select("game", "t", *(c.alias(name) for name, c in counted.items()))
-
-    def scaled(name: str) -> Column:
-        mean = F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x) / MAIN_N
-        squares = F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x * x) / MAIN_N
-        sd = F.sqrt(squares - mean * mean)
-        return F.struct(mean.alias("mean"), sd.alias("sd")).alias(f"{name}_fit")
-
-    fitted = lists.select("*", *(scaled(name) for name in counted))
-    z = lambda name: F.when(F.col(f"{name}_fit.sd") > 0, (F.col("x")[name] - F.col(f"{name}_fit.mean")) / F.col(f"{name}_fit.sd")).otherwise(0.0).alias(name)
-    each = fitted.select("game", "t", *(f"{name}_fit" for name in counted), F.posexplode(F.arrays_zip(*counted)).alias("at", "x"))
-    return each.select("game", "t", (F.col("at") + 1).alias("item"), *map(z, counted))
+    names = {0: "z_all"} | {w: f"z{w}" for w in windows}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, out = batch.column("s0").flatten().to_numpy().reshape(-1, MAIN_N), []
+            for w in names:
+                earlier = np.zeros_like(whole)
+                if w:
+                    earlier[batch.column(f"s{w}").is_valid().to_numpy(zero_copy_only=False)] = batch.column(f"s{w}").flatten().to_numpy().reshape(-1, MAIN_N)
+                seen = whole - earlier
+                total = seen.sum(1, keepdims=True)
+                spread = MAIN_N * (seen * seen).sum(1, keepdims=True) - total * total  # 64-bit integers: exact, and 0 if all are equal
+                z = np.zeros(seen.shape)
+                np.divide(MAIN_N * seen - total, np.sqrt(spread), out=z, where=spread > 0)
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, MAIN_N), pa.int32()), pa.array(z.ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column("game"), batch.column("t"), *out], ["game", "t", *names.values()])
+
+    scaled = met.mapInArrow(run, "game string, t long, " + ", ".join(f"{c} array<double>" for c in names.values()))
+    each = scaled.select("game", "t", F.posexplode(F.arrays_zip(*names.values())).alias("at", "x"))
+    return each.select("game", "t", (F.col("at") + 1).alias("item"), *(F.col("x")[c].alias(c) for c in names.values()))
 
 
 def ticket_place(items: list[Column], n: int = MAIN_N) -> Column:
