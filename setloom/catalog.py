@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from setloom.operators import benchmarks, branches, budgets, builders, cutoffs, filters, forward, learned, levels, measures, portfolio, provenance, ranking
-from setloom.plans import draws, more
-from setloom.plans.views import DRAWS
+from setloom.plans import draws, more, rows
 from setloom.plans.dialect import Duck, Spark
 from setloom.sources import checks
 from setloom.sources import jobs as files
 from setloom.streaming import jobs
 
 FLAGSHIP = "a4_top_pairs"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
 
 def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = Spark().written(more.SQL[name](Spark()))
-        if DRAWS in text:
-            draws.draws(spark, sf_dir).createOrReplaceTempView("setloom_draws")
-            text = text.replace(DRAWS, "draws as (select * from setloom_draws)")
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", text):
-                draws.table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+    return lambda spark, sf_dir: draws.run(spark, sf_dir, more.SQL[name](Spark()))
 
-    return query
 
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **ranking.QUERIES, **jobs.QUERIES, **files.QUERIES, **checks.QUERIES, **forward.QUERIES, **filters.QUERIES, **benchmarks.QUERIES, **branches.QUERIES, **cutoffs.QUERIES, **portfolio.QUERIES, **levels.QUERIES, **builders.QUERIES, **learned.QUERIES, **measures.QUERIES, **budgets.QUERIES, **provenance.QUERIES, **{n: planned(n) for n in more.SQL}}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**draws.QUERIES, **ranking.QUERIES, **jobs.QUERIES, **files.QUERIES, **checks.QUERIES, **forward.QUERIES, **filters.QUERIES, **benchmarks.QUERIES, **branches.QUERIES, **cutoffs.QUERIES, **portfolio.QUERIES, **levels.QUERIES, **builders.QUERIES, **learned.QUERIES, **measures.QUERIES, **budgets.QUERIES, **provenance.QUERIES, **{n: planned(n) for n in more.SQL}, **rows.QUERIES}
 ORACLE_SQL: dict[str, str] = {**draws.ORACLE_SQL, **ranking.ORACLE_SQL, **jobs.ORACLE_SQL, **files.ORACLE_SQL, **checks.ORACLE_SQL, **forward.ORACLE_SQL, **filters.ORACLE_SQL, **branches.ORACLE_SQL, **measures.ORACLE_SQL, **budgets.ORACLE_SQL, **portfolio.ORACLE_SQL, **provenance.ORACLE_SQL, **{n: Duck().written(f(Duck())) for n, f in more.SQL.items()}}

@@ -28,6 +28,7 @@ from setloom.plans.draws import draws
 from setloom.plans.views import DRAWS, with_
 from setloom.sources.storage import stored
 
+from . import ranks
 from .levels import drawn
 from .portfolio import components
 
@@ -41,15 +42,10 @@ PRODUCTS = [(i, j) for i in range(5) for j in range(i, 5)]
 
 
 def inclusive_index(sets: DataFrame, size: int = BLOCK) -> DataFrame:
-    """game, t, poi of sets(game, t, main, star): no window is longer than a block; blocks add one row per pair."""
-    pair = F.explode(F.filter(components(), lambda c: c.kind.contains("-"))).alias("c")
-    block = F.floor((F.col("t") - 1) / size).cast("long").alias("block")
-    cells = sets.select("game", "t", block, pair).select("game", "t", "block", "c.kind", "c.a", "c.b").where("kind <> 'star-star' or a <> b")
-    key = ["game", "kind", "a", "b"]
-    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = cells.groupBy(*key, "block").count().select(*key, "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy(*key, "block").orderBy("t"))
-    return cells.withColumn("within", within).join(base, [*key, "block"]).groupBy("game", "t").agg(F.sum(F.col("base") + F.col("within")).alias("poi"))
+    """game, t, poi of sets(game, t, main, star): the sum of what `ranks` gives for a draw's pairs."""
+    pairs = F.filter(components(), lambda c: c.kind.contains("-") & ((c.kind != "star-star") | (c.a != c.b)))
+    coded = sets.select("game", F.col("t").cast("long").alias("t"), pairs.alias("pairs")).select("game", "t", F.expr(f"transform(pairs, c -> {ranks.CODE})").alias("codes"))
+    return ranks.ranked(coded, size).select("game", "t", F.aggregate("ranks", F.lit(0).cast("long"), lambda s, x: s + x).alias("poi"))
 
 
 def totients(n: np.ndarray) -> np.ndarray:

@@ -11,6 +11,9 @@ def doubles(text: str) -> str:
 
 
 class Spark:
+    #: A ticket's five items follow from its id, so that its row needs neither a row for each item nor a join.
+    by_row = True
+
     def written(self, text: str) -> str:
         """A plan's text with EACH(a, b, ...) as a row for each and decimals as doubles."""
         return doubles(re.sub(r"EACH\(([^()]*)\)", self.each(), text))
@@ -63,6 +66,8 @@ class Spark:
 
 
 class Duck(Spark):
+    by_row = False
+
     def each(self) -> str:
         return r"unnest([\1])"
 

@@ -31,5 +31,16 @@ def tickets(d: Spark) -> str:
 tickets as (select c_custkey as ticket_id, cast((c_custkey + i * (1 + {d.div('c_custkey', '50')} % 12)) % 50 + 1 as int) as item from customer cross join steps)"""
 
 
+def ticket_items(key: str) -> list[str]:
+    """The items of `tickets` as expressions of a ticket's id, in Spark's spelling."""
+    return [f"cast(({key} + {i} * (1 + ({key} div 50) % 12)) % 50 + 1 as int)" for i in range(5)]
+
+
+def hits_of(key: str, draw: str) -> str:
+    """How many of a ticket's items a draw has, in Spark's spelling."""
+    mains = ", ".join(f"{draw}.b{i}" for i in range(1, 6))
+    return "cast(" + " + ".join(f"case when {x} in ({mains}) then 1 else 0 end" for x in ticket_items(key)) + " as bigint)"
+
+
 def with_(*parts: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
