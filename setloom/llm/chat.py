@@ -3,8 +3,8 @@
 A turn is written <|role|>text</s>. In roles and texts "\\", "<", "[" and "|" are followed by an added backslash, so no
 control string of the template (or of others: <s>, [INST]) can come from a text, and `unescape` restores it.
 Each assistant turn is one example: its context is the formatted conversation up to the reply, its target the reply's
-text, the only trainable span. Each example is written as a row with its target and mask; its context is a reference to
-the conversation's formatted chunks, stored once, and `context_parts` joins them. Turns come in order of turn, then role and text. Null texts and roles are empty;
+text, the only trainable span. Each example is written with its target and mask as a row, and with its whole context as
+rows, one for each chunk of the conversation that the context reaches into, so that no row is as long as a conversation. Turns come in order of turn, then role and text. Null texts and roles are empty;
 rows with a null conv_id are one conversation. Conversations are streamed turn by turn, a row holds at most TURNS turns.
 """
 
@@ -84,17 +84,27 @@ def example_rows(formatted: DataFrame) -> DataFrame:
 
 
 def write_examples(formatted: DataFrame) -> DataFrame:
-    return stored(example_rows(formatted), "examples")
+    return stored(example_rows(formatted), "examples", "zstd")
 
 
 def context_parts(formatted: DataFrame, rows: DataFrame) -> DataFrame:
     """conv_id, example, part, text of rows as by example_rows: a context's parts in order, one for each chunk it reaches into."""
-    chunks = formatted.select(F.col("conv_id").alias("conv"), F.col("chunk").alias("part"), "start", "formatted")
+    chunks = formatted.select(F.col("conv_id").alias("conv"), F.col("chunk").alias("part"), "start", "formatted").hint("merge")  # never whole through the driver
     met = rows.join(chunks, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") <= F.col("chunk")))
     text = F.when(F.col("part") < F.col("chunk"), F.col("formatted")).otherwise(F.expr("substring(formatted, 1, int(train_start - start))"))
     return met.select("conv_id", "example", "part", text.alias("text"))
 
 
+def write_contexts(formatted: DataFrame, rows: DataFrame) -> DataFrame:
+    """`context_parts` of all examples, written: the prefix of every reply in full."""
+    return stored(context_parts(formatted, rows), "contexts", "zstd")  # an example repeats the one before it
+
+
+def context_chars(contexts: DataFrame) -> DataFrame:
+    """Per conversation the code points of its examples' contexts, as read back."""
+    return contexts.groupBy("conv_id").agg(F.sum(F.length("text").cast("long")).alias("context_chars"))
+
+
 def examples(formatted: DataFrame) -> DataFrame:
     """One row per assistant turn: conv_id, example, context (all formatted text before the reply), target, trainable span.
 
@@ -159,4 +169,4 @@ def digests(formatted: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
 
 def write_formatted(turns: DataFrame) -> DataFrame:
-    return stored(format_conversations(turns), "chat")
+    return stored(format_conversations(turns), "chat", "zstd")
