@@ -279,7 +279,7 @@ def guarded_portfolio(pool: DataFrame, history: DataFrame, budget: int, kept: in
         plain = chosen(crowd, CROWD * F.col("crowd_rank"))
         out += [("ablation", g, plain) for g in games]
     if "guarded" in modes:
-        each = history.select("game").distinct().crossJoin(crowd)  # each ticket once a game
+        each = crowd.crossJoin(F.broadcast(history.select("game").distinct()))  # each ticket once a game; of the two only the games may pass the driver
         signals = each.join(ticket_signals(pool, evidence(history)), ["game", "ticket_id"], "left").fillna(0.0, ["signal"])
         rows = stored(rank01(signals, "game", "signal", "signal_rank"), "signals")
         out += [("guarded", g, chosen(rows.where(F.col("game") == g), CROWD * F.col("crowd_rank") + SIGNAL * F.col("signal_rank"))) for g in games]
