@@ -45,7 +45,8 @@ def registers(elements: np.ndarray, weights: np.ndarray, count: int = REGISTERS)
     last = np.inf  # of the registers' first arrivals
     t, number = np.zeros(len(elements)), np.uint64(0)
     while len(elements):
-        many = max(1, 2 * count // len(elements))  # arrivals of each element at once
+        # arrivals of each element at once: mostly as many as all registers together wait for
+        many = max(1, (6 if number == 0 else 2) * count // len(elements))
         numbers = number + np.arange(1, many + 1, dtype=np.uint64)
         random = words.mixed(elements[:, None] + numbers * _STEP)
         gaps = -np.log((random >> np.uint64(11)).astype("f8") * 2.0**-53 + 2.0**-54) / weights[:, None]

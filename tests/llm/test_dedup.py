@@ -311,3 +311,14 @@ def test_many_rows_with_a_null_id(spark):
     rows = [(None, " ".join(edited(base, 1)) + f" n{i}", "en", "s", 0) for i in range(1500)]
     made = near_dedup.near_duplicates(docs(spark, rows + [(7, " ".join(base), "en", "s", 0)]))
     assert made.count() == 1501 and made.where("class_id = 7").count() > 1300
+
+
+def test_registers_take_few_rounds(monkeypatch):
+    calls, mixed = [], words.mixed
+    monkeypatch.setattr(words, "mixed", lambda x: calls.append(len(x)) or mixed(x))
+    rng = np.random.default_rng(5)
+    for n in (20, 100, 300, 450):
+        elements = mixed(rng.integers(0, 1 << 62, n).astype("u8"))
+        calls.clear()
+        owner = near_dedup.registers(elements, np.ones(n))
+        assert np.isin(owner, elements).all() and len(calls) <= 12, (n, len(calls))
