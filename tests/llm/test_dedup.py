@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -322,3 +323,27 @@ def test_registers_take_few_rounds(monkeypatch):
         calls.clear()
         owner = near_dedup.registers(elements, np.ones(n))
         assert np.isin(owner, elements).all() and len(calls) <= 12, (n, len(calls))
+
+
+def test_windows_of_many_texts_at_once_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 1 << 32, 60).astype("<u4")
+    texts = [rng.integers(0, 40 if i % 3 else 1 << 32, n).astype("<u4") for i, n in enumerate((50, 51, 400, 90, 75, 50))]
+    texts += [np.concatenate((texts[2], passage)), np.concatenate((passage, texts[3])), np.tile(passage[:7], 12), np.tile(passage[:1], 80), np.tile(passage[:1], 80)]
+    starts = np.cumsum([0, *map(len, texts)])
+    keys, places = substring_dedup.joined_windows(**substring_dedup.parted(np.concatenate(texts), starts[1:-1]))
+    of = np.searchsorted(starts, places, "right") - 1
+    made = sorted(zip(of.tolist(), keys.tolist(), (places - starts[of]).tolist()))
+    alone = [substring_dedup.joined_windows(words.shingles(h)) for h in texts]
+    assert made == sorted((i, k, p) for i, (ks, ps) in enumerate(alone) for k, p in zip(ks.tolist(), ps.tolist()))
+    calls, one = [], substring_dedup.joined_windows
+    monkeypatch.setattr(substring_dedup, "joined_windows", lambda *a, **k: calls.append(1) or one(*a, **k))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(11)], "copy": [0] * 11, "words": [x.tobytes() for x in texts]})
+
+    class Texts:
+        def mapInArrow(self, run, _):
+            return [*run(iter([batch]))]
+
+    (rows,) = substring_dedup.windows(Texts())
+    assert len(calls) == 1 and rows.num_rows == len(made)
+    assert sorted(zip(rows["doc_id"].to_pylist(), rows["key"].to_numpy().view("u8").tolist(), rows["place"].to_pylist())) == made
