@@ -20,7 +20,7 @@ from itertools import accumulate, repeat
 import numpy as np
 
 #: Pieces that one worker process keeps.
-MEMO = 1_000_000
+MEMO = 500_000
 #: Bytes of the longest match whose prefixes are counted together with others.
 LOCKSTEP = 32
 #: Fixed value: the byte-level pretokenizer's pattern.

@@ -15,6 +15,7 @@ few documents. Extra columns are not returned.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,13 @@ HASH = 15
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def release() -> None:
+    """Drop the pieces that a worker keeps from encoding: the steps after it need none, and the memory is theirs."""
+    if bpe.load_json.cache_info().currsize:
+        bpe.load_json.cache_clear()
+        gc.collect()
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, ids (little-endian); and, with a null `ids`, a row per task with its sums: df of each term, documents, ids."""
 
@@ -46,7 +54,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], c.dtype).tobytes()
         size = c.tokenizer.get_vocab_size()
         df, n, total = np.zeros(size, "i8"), 0, 0
-        for batch in slices(batches, rows=8192, size=12 << 20):
+        for batch in slices(batches, rows=8192, size=5 << 20):
             made = [x + end for x in c.encode_many(texts_of(batch))]
             for raw in made:
                 ids = np.frombuffer(raw, c.dtype)
@@ -81,14 +89,36 @@ def corpus_sums(table: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(r["sums"], "i8") for r in rows) if rows else None
 
 
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document (its index), term and count of all terms of all documents, in order."""
+    ids = np.concatenate(docs)
+    both = np.sort(np.repeat(np.arange(len(docs), dtype="u8") << np.uint64(32), [len(d) for d in docs]) | ids)
+    at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, "i8")
+    return (both[at] >> np.uint64(32)).astype("i4"), both[at].astype("u4").astype(ids.dtype), np.diff(np.append(at, len(both)))
+
+
+def order_keys(docs: list[np.ndarray], weights: np.ndarray, width: int, heaviest: int) -> np.ndarray:
+    """For each document (none is empty) its terms of the greatest weights, `width` bits each; of equal weights the smaller term, of too few the last one again."""
+    doc, terms, tf = term_counts(docs)
+    w = weights[terms] * tf / (tf + K1)
+    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    key = term = np.zeros(len(docs), "i8")
+    for _ in range(heaviest):
+        most = np.maximum.reduceat(w, starts)
+        at = np.flatnonzero(w == most[doc])
+        at = at[np.concatenate(([True], doc[at][1:] != doc[at][:-1]))]
+        term = np.where(most >= 0, terms[at], term)
+        w[at] = -1
+        key = key << width | term
+    return key
+
+
 class Shard:
     """BM25 inverted index of some documents, with the corpus-wide idf and mean length."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([t for t, _ in self.terms])
-        tf = np.concatenate([c for _, c in self.terms]).astype("f4")
-        doc = np.repeat(np.arange(len(docs), dtype="i4"), [len(t) for t, _ in self.terms])
+        doc, term, tf = term_counts(docs)
+        self.terms, tf = np.split(term, np.searchsorted(doc, np.arange(1, len(docs)))), tf.astype("f4")
         norm = (K1 * (1 - B + B * np.array([len(d) for d in docs]) / mean)).astype("f4")
         order = np.argsort(term, kind="stable")
         self.doc = doc[order].astype("i8")
@@ -106,7 +136,7 @@ class Shard:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
-        terms = self.terms[seed][0]
+        terms = self.terms[seed]
         row = self.row[terms]
         total = self.dense[row[row >= 0]].sum(0)
         terms = terms[row < 0]
@@ -185,19 +215,10 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGT
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
-        for batch in batches:
-            made = []
-            for raw in batch.column("ids").to_pylist():
-                terms, tf = np.unique(np.frombuffer(raw, kind), return_counts=True)
-                w = weights[terms] * tf / (tf + K1)
-                key = term = 0
-                for _ in range(heaviest):
-                    best = int(w.argmax())  # of equal weights the smaller term; of too few terms the last one again
-                    if w[best] >= 0:
-                        term, w[best] = int(terms[best]), -1
-                    key = key << width | term
-                made.append(key << HASH)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(made, pa.int64())], ["doc_id", "ids", "key"])
+        release()
+        for some in slices(batches, rows=2048, text="ids"):
+            made = order_keys([np.frombuffer(x, kind) for x in some.column("ids").to_pylist()], weights, width, heaviest) << HASH
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("ids"), pa.array(made)], ["doc_id", "ids", "key"])
 
     # a hash of doc_id, the last bits of the order, splits groups of texts with the same heaviest terms
     keyed = table.where(F.col("ids").isNotNull()).select("doc_id", "ids").mapInArrow(keys, "doc_id long, ids binary, key long")
@@ -207,6 +228,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGT
     dealt = keyed.withColumn("part", range_bucket(F.col("key"), bounds)).repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("part", "key", "doc_id", F.xxhash64("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         weights = idf.value
         part, made, ids, texts, held = None, 0, [], [], 0
 

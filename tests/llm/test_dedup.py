@@ -347,3 +347,25 @@ def test_windows_of_many_texts_at_once_are_those_of_each(monkeypatch):
     (rows,) = substring_dedup.windows(Texts())
     assert len(calls) == 1 and rows.num_rows == len(made)
     assert sorted(zip(rows["doc_id"].to_pylist(), rows["key"].to_numpy().view("u8").tolist(), rows["place"].to_pylist())) == made
+
+
+def test_order_keys_against_a_loop():
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 30, n).astype("<u2") for n in (1, 2, 5, 40, 200)]
+    weights = np.round(rng.random(30) * 4).astype("f4")
+    want = []
+    for d in docs:
+        terms, tf = np.unique(d, return_counts=True)
+        best = sorted(zip(-(weights[terms] * tf / (tf + packing.K1)), terms.tolist()))[:3]
+        found = [t for _, t in best]
+        found += found[-1:] * (3 - len(found))
+        want.append(found[0] << 10 | found[1] << 5 | found[2])
+    assert packing.order_keys(docs, weights, 5, 3).tolist() == want
+
+
+def test_steps_after_encoding_hold_no_pieces():
+    from setloom.llm import bpe
+
+    bpe.load_json(JSON).encode("some words that a worker keeps")
+    packing.release()
+    assert bpe.load_json.cache_info().currsize == 0
