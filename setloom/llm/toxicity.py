@@ -27,7 +27,8 @@ from .common import slices, texts_of
 POSITIVES, UNLABELLED = 6_000, 12_000
 #: Documents of the positive sample that a feature must be in, and times its rate must exceed the unlabelled rate.
 LEAST_DOCS, LEAST_LIFT = 4, 2.5
-_MEMO = 500_000
+#: Pieces that a worker keeps: about 350 bytes each with their hashes.
+_MEMO = 150_000
 
 
 def features_of(piece: str) -> tuple[int, ...]:

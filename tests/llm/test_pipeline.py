@@ -16,3 +16,12 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir):
 def test_run(spark, sf_dir):
     made = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert len(made) and made.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_toxicity_workers_keep_a_bounded_number_of_pieces():
+    from setloom.llm import toxicity
+
+    memo = {}
+    for i in range(0, 200_000, 1_000):
+        toxicity.features(" ".join(f"word{j}" for j in range(i, i + 1_000)), memo)
+    assert len(memo) <= 152_000
