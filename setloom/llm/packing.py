@@ -92,7 +92,7 @@ def corpus_sums(table: DataFrame) -> np.ndarray | None:
 def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document (its index), term and count of all terms of all documents, in order."""
     ids = np.concatenate(docs)
-    both = np.sort(np.repeat(np.arange(len(docs), dtype="u8") << np.uint64(32), [len(d) for d in docs]) | ids)
+    both = np.sort(np.repeat(np.arange(len(docs), dtype="u8") << np.uint64(32), [len(d) for d in docs]) | ids.astype("u8"))
     at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, "i8")
     return (both[at] >> np.uint64(32)).astype("i4"), both[at].astype("u4").astype(ids.dtype), np.diff(np.append(at, len(both)))
 
