@@ -78,6 +78,8 @@ class Bpe:
         self.own: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.counts = PrefixCounts(self)
+        #: Pieces that this one keeps.
+        self.memo = MEMO
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -97,7 +99,7 @@ class Bpe:
         (where versions of Unicode may differ) go to the library with its own pretokenizer.
         """
         known, own = self.known, self.own
-        if len(known) + len(own) > MEMO:
+        if len(known) + len(own) > self.memo:
             known.clear()
             own.clear()
         latin = pieces if _LATIN("".join(pieces)) else [p for p in pieces if _LATIN(p)]
@@ -207,7 +209,7 @@ class Bpe:
     def learn_counts(self, texts: list[str]) -> None:
         """Learn the pieces that a batch needs, in one call of the library."""
         pieces = {p for x in texts if x for p in pieces_of(x)[1:]}
-        if len(self.known) + len(pieces) > MEMO:
+        if len(self.known) + len(pieces) > self.memo:
             self.known.clear()
         if new := pieces.difference(self.known):
             self.learn([*new])
@@ -217,7 +219,7 @@ class Bpe:
         head, *rest = pieces
         missing = [p for p in rest if p not in self.known]
         if missing:
-            if len(self.known) > MEMO:
+            if len(self.known) > self.memo:
                 self.known.clear()
                 missing = rest
             self.learn([*dict.fromkeys(missing)])
@@ -228,7 +230,7 @@ class Bpe:
         """Ids of texts' first pieces."""
         found = [*map(self.first.get, heads)]
         if None in found:
-            if len(self.first) > MEMO // 8:
+            if len(self.first) > self.memo // 8:
                 self.first.clear()
             new = [*dict.fromkeys(h for h, x in zip(heads, found) if x is None)]
             made = dict(zip(new, self.wholes(new)))

@@ -31,6 +31,8 @@ from .common import forget, range_bounds, range_bucket, shuffle_partitions, slic
 LENGTH = 1024
 SHARD = 512
 SHARD_IDS = 4 << 20
+#: Pieces that a worker keeps while it encodes.
+MEMO = 200_000
 #: A term is kept densely if one document in DENSE of a shard has it.
 DENSE = 16
 K1, B = 1.2, 0.75
@@ -44,6 +46,7 @@ def release() -> None:
     if bpe.load_json.cache_info().currsize:
         bpe.load_json.cache_clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -51,17 +54,18 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bpe.load_json(tokenizer)
+        c.memo = MEMO
         end = np.array([end_id], c.dtype).tobytes()
         size = c.tokenizer.get_vocab_size()
         df, n, total = np.zeros(size, "i8"), 0, 0
-        for batch in slices(batches, rows=8192, size=5 << 20):
+        for batch in slices(batches, rows=8192, size=5 << 19):
             made = [x + end for x in c.encode_many(texts_of(batch))]
-            for raw in made:
-                ids = np.frombuffer(raw, c.dtype)
-                df[np.unique(ids)] += 1
-                total += len(ids)
+            ids = [np.frombuffer(x, c.dtype) for x in made]
+            df += np.bincount(term_counts(ids)[1], minlength=size)
+            total += sum(map(len, ids))
             n += len(made)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())], ["doc_id", "ids", "sums"])
+            pa.default_memory_pool().release_unused()
         if n:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.concatenate((df, [n, total])).tobytes()], pa.binary())], ["doc_id", "ids", "sums"])
 

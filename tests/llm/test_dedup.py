@@ -369,3 +369,41 @@ def test_steps_after_encoding_hold_no_pieces():
     bpe.load_json(JSON).encode("some words that a worker keeps")
     packing.release()
     assert bpe.load_json.cache_info().currsize == 0
+
+
+def test_alignments_too_few_for_a_passage_are_passed_over(monkeypatch):
+    r = np.random.default_rng(1)
+    line = r.integers(1, 1 << 32, 12)
+    text = lambda: np.concatenate([x for _ in range(20) for x in (line, r.integers(1, 1 << 32, r.integers(40, 4000)))]).astype("<u4")
+    asked, hits = [], substring_dedup.Source.hits
+    monkeypatch.setattr(substring_dedup.Source, "hits", lambda *x: asked.append(1) or hits(*x))
+    assert substring_dedup.passages(substring_dedup.Source(text()), text()) == []
+    assert not asked  # twenty common lines on either side, none of which makes a passage
+    periodic = np.tile(line, 6).astype("<u4")
+    ((first, last),) = substring_dedup.passages(substring_dedup.Source(periodic), np.concatenate((r.integers(1, 1 << 32, 200), periodic)).astype("<u4"))
+    assert first <= 200 and last == 272
+
+
+def test_first_range_of_light_and_heavy_groups(spark, monkeypatch):
+    rows = [(1, d, c, p, d > 4) for d in range(3, 9) for c, p in ((2, 5), (1, 9))] + [(2, 7, 0, 4, True), (2, 6, 0, 8, False), (3, 7, 0, 4, True), (4, 9, 0, 1, False), (4, 8, 0, 1, True)]
+    found = []
+    for heavy in (1e-9, 0.6, 2.0):  # all groups are heavy, the first one, none
+        monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+        found.append(sorted(tuple(x) for x in substring_dedup.grouped(spark.createDataFrame(rows, "key long, doc_id long, copy long, place int, open boolean")).collect()))
+    assert found[0] == found[1] == found[2]
+    assert {(x[0], *x[5:]) for x in found[0]} == {(1, 3, 1, 9), (2, 6, 0, 8)} and len(found[0]) == 14
+
+
+def test_packing_keeps_few_pieces_and_tables_are_written_in_small_batches(spark, monkeypatch):
+    from setloom.llm import bpe
+    from setloom.llm.common import stored
+
+    c = bpe.load_json(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(c, "memo", 50)
+    texts = [" ".join(prose(40)) for _ in range(20)]
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for t in texts:
+        assert np.frombuffer(c.encode(t), c.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert len(c.known) <= 50 + 80  # one text's pieces more at most
+    sizes = stored(spark.range(0, 9000, 1, 1).mapInArrow(lambda x: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in x), "n long"), "sizes")
+    assert sizes.agg({"n": "max"}).first()[0] <= 2000 and sizes.agg({"n": "sum"}).first()[0] == 9000
