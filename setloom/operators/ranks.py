@@ -1,7 +1,8 @@
 """How often each pair of a draw has been drawn up to it, without a row for each pair of a draw.
 
-Draws are dealt into blocks of consecutive t. What a block starts from are sums of earlier blocks, one row per block and
-pair; within a block a pair's occurrences are numbered by one stable sort of its codes.
+Draws are dealt into blocks of consecutive t, which are stored. What a block starts from are sums of earlier blocks, one
+row per block and pair, counted in the block's row; within a block a pair's occurrences are numbered by one stable sort
+of its codes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from setloom.sources.storage import stored
+
 #: Draws of a block, and more than any code.
 BLOCK, CODES = 1 << 12, 3 << 12
 #: Code of a component (kind, a, b); numbers are below 64.
@@ -24,11 +27,19 @@ def ranked(sets: DataFrame, size: int = BLOCK) -> DataFrame:
     """game, t, ranks of sets(game, t, codes): of each code how often it came up to t, t included."""
     block = F.floor((F.col("t") - 1) / size).cast("long").alias("block")
     dealt = sets.select("game", "t", block, "codes")
-    blocks = dealt.groupBy("game", "block").agg(F.sort_array(F.collect_list(F.struct("t", "codes"))).alias("rows"))
-    many = dealt.select("game", "block", F.explode("codes").alias("code")).groupBy("game", "block", "code").agg(F.count("*").alias("n"))
+    blocks = stored(dealt.groupBy("game", "block").agg(F.sort_array(F.collect_list(F.struct("t", "codes"))).alias("rows")), "blocks")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                code, n = np.unique(one.column("codes").flatten().flatten().to_numpy(zero_copy_only=False), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([one.column(c)[0].as_py()] * len(code), t) for c, t in (("game", pa.string()), ("block", pa.int64()))] + [pa.array(code.astype("i4")), pa.array(n.astype("i8"))], ["game", "block", "code", "n"])
+
+    many = stored(blocks.select("game", "block", F.col("rows.codes").alias("codes")).mapInArrow(count, "game string, block long, code int, n long"), "counts")
     since = Window.partitionBy("game", "code").orderBy("block")
     # a block gets the sum that a code has after the last block with it, at every block from then to the code's next one
-    ends = dealt.groupBy("game").agg(F.max("block").alias("end"))
+    ends = blocks.groupBy("game").agg(F.max("block").alias("end"))
     sums = many.withColumn("n", F.sum("n").over(since.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("block").over(since)).join(F.broadcast(ends), "game")
     until = F.coalesce("until", "end")
     base = sums.where(F.col("block") < until).select("game", F.explode(F.sequence(F.col("block") + 1, until)).alias("block"), "code", "n")

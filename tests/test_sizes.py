@@ -68,3 +68,16 @@ def test_guarded_pool_does_not_pass_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(pool), "crossJoin", lambda a, b: (seen.append((a.columns, b._jdf.queryExecution().analyzed().toString())), cross(a, b))[1])
     portfolio.guarded_portfolio(pool, history, 2, modes=("guarded",))
     assert any("ticket_id" in columns and "strategy=broadcast" in plan for columns, plan in seen)
+
+
+def test_pairs_are_counted_in_a_blocks_row(spark, monkeypatch):
+    from setloom.operators import ranks
+
+    kept = {}
+    old = ranks.stored
+    monkeypatch.setattr(ranks, "stored", lambda df, name: kept.setdefault(name, old(df, name)))
+    rows = [("g", t, [1, 2, 1 + t % 3]) for t in range(1, 10)] + [("h", 1, [])]
+    ranks.ranked(spark.createDataFrame(rows, "game string, t long, codes array<int>"), 4).collect()
+    assert kept["blocks"].count() == 4
+    made = {(r.game, r.block, r.code): r.n for r in kept["counts"].collect()}
+    assert made[("g", 0, 1)] == 5 and made[("g", 2, 2)] == 1 and sum(made.values()) == 27 and len(made) == kept["counts"].count()
