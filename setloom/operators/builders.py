@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -77,7 +78,24 @@ def propose(name: str, history: DataFrame, budget: int, seed: int = 0) -> DataFr
     return made
 
 
+#: What several builders take from one history, by the history and a name; gone with the history.
+_SHARED: WeakKeyDictionary[DataFrame, dict[str, DataFrame]] = WeakKeyDictionary()
+
+
+def shared(history: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(history), stored once for all builders of this history."""
+    held = _SHARED.setdefault(history, {})
+    if name not in held:
+        held[name] = stored(make(history), name)
+    return held[name]
+
+
 def item_weights(history: DataFrame) -> DataFrame:
+    """`counted_items`, counted once for all builders."""
+    return shared(history, "weights", counted_items)
+
+
+def counted_items(history: DataFrame) -> DataFrame:
     """game, kind (main or star), item, n: draws with the item plus one; every item of the game has a row."""
     spark = history.sparkSession
     items = F.explode(F.concat(*(F.array(F.struct(F.lit(k).alias("kind"), F.col(c).cast("int").alias("item"))) for k, c in [*(("main", f"b{i}") for i in range(1, MAIN_K + 1)), *(("star", f"s{i}") for i in range(1, STAR_K + 1))])))
@@ -112,7 +130,7 @@ def best(tickets: DataFrame, budget: int, *order: Column) -> DataFrame:
 @builder("frequency")
 def frequency(history: DataFrame, budget: int, seed: int) -> DataFrame:
     """Tickets drawn by the items' smoothed frequency."""
-    weights = stored(item_weights(history), "weights")
+    weights = item_weights(history)
     return best(log_weight(sampled(weights, budget, seed, SPARE), weights), budget, F.col("try"))
 
 
@@ -209,7 +227,7 @@ def sweep(weights: DataFrame, budget: int, shared: int = MAIN_K - 2, steps: int
 
 
 def swept(history: DataFrame, budget: int, orientation: str) -> DataFrame:
-    weights = stored(oriented(ranks(history), orientation), "oriented")
+    weights = stored(oriented(shared(history, "ranks", ranks), orientation), "oriented")
     return log_weight(sweep(weights, budget), weights.withColumnRenamed("w", "n"))
 
 

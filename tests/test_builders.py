@@ -81,3 +81,17 @@ def test_stars_without_pairs_have_their_cross_marginal(spark, sf_dir):
     share = {r.s1: r["count"] for r in one.groupBy("s1").count().collect()}
     total = sum(share.values())
     assert all(abs(found[s] - share.get(s, 0) / total) < 1e-12 for s in range(1, 13))
+
+
+def test_builders_of_one_history_share_what_they_count(spark, monkeypatch):
+    from setloom.operators import builders
+
+    made, count = [], builders.counted_items
+    monkeypatch.setattr(builders, "counted_items", lambda history: made.append(history) or count(history))
+    rows = [("g", t, *[(t * k) % 7 + 7 * k + 1 for k in range(5)], t % 12 + 1, (t + 5) % 12 + 1) for t in range(1, 30)]
+    history = spark.createDataFrame(rows, "game string, t long, b1 int, b2 int, b3 int, b4 int, b5 int, s1 int, s2 int")
+    for name in ("frequency", "uniform", "unpopularity"):
+        assert builders.propose(name, history, 3, 1).count() == 3
+    assert len(made) == 1
+    other = history.where("t < 20")
+    assert builders.item_weights(other).agg({"n": "sum"}).first()[0] == 19 * 7 + 62 and len(made) == 2
