@@ -27,12 +27,17 @@ LOCKSTEP = 32
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Marks that often follow a word.
 _STOPS = ",.;:!?"
+#: ASCII marks; a run of them behind a word is one match. An apostrophe may begin another.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _RISKS = tuple(x for b in _BLANKS for x in dict.fromkeys((f" {b}", f"{b} ")))
 #: A text that begins or ends with a space or has one beside another blank is cut by _CUT, others at every space.
 _ODD = "^ | $|" + "|".join(f" [{x}]|[{x}] " for x in [_BLANKS])
+#: A line end that begins or ends the text or has a blank beside it.
+_LINES = "^\n|\n$|" + "|".join(f"\n[{x}]|[{x}]\n" for x in [_BLANKS])
 _LATIN = re.compile("[\0-\u024f]*").fullmatch
+_BEYOND_LATIN = "[^\0-\u024f]"
 #: Blanks and what follows them.
 _RUNS = re.compile(r"([\t-\r \x85\xa0  -     　]*)([^\t-\r \x85\xa0  -     　]*)")
 _ASCII_RISKS = tuple(x for x in _RISKS if x.isascii())
@@ -45,6 +50,15 @@ def pieces_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _spaced(piece: str) -> str:
+    """A piece with its space; one that begins with a line end has none."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
+def _listed(strings) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 @functools.cache
 def byte_characters() -> str:
     """The character that stands for each byte: printable Latin-1 itself, the others from 256 upwards in order."""
@@ -61,6 +75,7 @@ class Bpe:
     """A byte-level BPE of the tokenizers library with a bounded store of known pieces."""
 
     def __init__(self, tokenizer, exact_pattern: bool):
+        import pyarrow as pa
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -77,6 +92,10 @@ class Bpe:
         #: Matches that stand inside a piece, without a space before them.
         self.own: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        #: Latin words that stand after a space, and their ids, row by row.
+        self.words, self.word_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        #: What stands for each byte in the text given to `split`; byte 255 parts matches.
+        self.characters = np.array([ord(x) for x in byte_characters()[:255] + " "], "<u4")
         self.counts = PrefixCounts(self)
         #: Pieces that this one keeps.
         self.memo = MEMO
@@ -111,7 +130,7 @@ class Bpe:
                 if word.isalpha():
                     marked.append((p, word, p[len(word) :]))
                 else:
-                    parts[p] = self.find(" " + p)
+                    parts[p] = self.find(_spaced(p))
         met = {m for x in parts.values() for m in x}
         words.update(m[1:] for m in met if m[0] == " ")
         words.update([w for _, w, _ in marked])
@@ -127,23 +146,28 @@ class Bpe:
             known.update([(p, b"".join([known[m[1:]] if m[0] == " " else own[m] for m in x])) for p, x in parts.items()])
         if len(latin) < len(pieces):
             rest = [p for p in pieces if p not in known]
-            known.update(zip(rest, self.wholes([" " + p for p in rest])))
+            known.update(zip(rest, self.wholes([_spaced(p) for p in rest])))
 
     def _matches(self, matches: list[str]) -> list[bytes] | None:
         """Ids of single matches of the pattern, given to the model in one call; None if its tokens do not cover them."""
         if not matches:
             return []
         raw = [m.encode() for m in matches]
-        table = byte_characters()[:255] + " "  # byte 255 is in no UTF-8 text: it parts the matches
-        text = b"\xff".join(raw).decode("latin-1").translate(table)
+        found = self._parted(b"\xff".join(raw), np.fromiter(map(len, raw), "i8", len(raw)))
+        if found is None:
+            return None
+        made, cuts = found[0].tobytes(), found[1].tolist()
+        return [made[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _parted(self, raw: bytes | memoryview, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of matches (joined by byte 255, which is in no UTF-8 text) and the bytes at which each match's ids begin."""
+        text = self.characters[np.frombuffer(raw, "u1")].tobytes().decode("utf-32-le")
         ids = np.array(self.split.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        ends, want = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, raw), "i8", len(raw)))
+        ends, want = np.cumsum(self.sizes[ids]), np.cumsum(sizes)
         at = np.searchsorted(ends, want)
         if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():
             return None
-        step, made = self.dtype.itemsize, ids.tobytes()
-        cuts = [0, *((at + 1) * step).tolist()]
-        return [made[i:j] for i, j in zip(cuts, cuts[1:])]
+        return ids, np.concatenate(([0], at + 1)) * self.dtype.itemsize
 
     def wholes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as the library gives them, in one call."""
@@ -171,7 +195,10 @@ class Bpe:
         for i, raw in zip(whole, self.wholes([texts[i] for i in whole])):
             out[i] = raw
         full = np.fromiter(map(len, texts), "i8", len(texts)) > 0
-        for rows, lists in ((np.flatnonzero(full & ~odd & ~special), lambda x: pc.split_pattern(x, " ")), (np.flatnonzero(odd & full), lambda x: pa.array([_CUT.split(t) for t in x.to_pylist()], pa.large_list(pa.large_string())))):
+        # where each line end stands between characters that are not blank, pieces also begin there
+        lined = ~pc.match_substring_regex(column, _LINES).to_numpy(zero_copy_only=False)
+        plain = full & ~odd & ~special
+        for rows, lists in ((np.flatnonzero(plain & lined), lambda x: pc.split_pattern(pc.replace_substring(x, "\n", " \n"), " ")), (np.flatnonzero(plain & ~lined), lambda x: pc.split_pattern(x, " ")), (np.flatnonzero(odd & full), lambda x: pa.array([_CUT.split(t) for t in x.to_pylist()], pa.large_list(pa.large_string())))):
             if len(rows):
                 for i, raw in zip(rows.tolist(), self._joined(lists(column.take(pa.array(rows))))):
                     out[i] = raw
@@ -179,32 +206,94 @@ class Bpe:
 
     def _joined(self, lists) -> list[bytes]:
         """Ids of texts given as their pieces; the first piece of a text has no space before it."""
+        import pyarrow as pa
+
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
         told = lists.flatten().dictionary_encode()
-        index, distinct = told.indices.to_numpy().astype("i8"), told.dictionary.to_numpy(zero_copy_only=False).tolist()
-        heads = offsets[:-1]
-        first = [distinct[i] for i in index[heads].tolist()]
-        index[heads] = len(distinct) + np.arange(len(heads))
-        get = self.known.get
-        found = [*map(get, distinct)]
-        if None in found:
-            used = np.zeros(len(distinct) + len(heads), bool)
-            used[index] = True
-            new = [p for p, x, u in zip(distinct, found, used.tolist()) if x is None and u]
+        index, heads = told.indices.to_numpy().astype("i4"), offsets[:-1]
+        first = _listed(told.dictionary.take(pa.array(index[heads])))
+        inner = np.ones(len(index), bool)
+        inner[heads] = False
+        used = np.zeros(len(told.dictionary), bool)  # pieces that are only heads need no ids here
+        used[index[inner]] = True
+        index = (np.cumsum(used, dtype="i4") - 1)[index]
+        index[heads] = np.count_nonzero(used) + np.arange(len(heads))
+        ids = pa.concat_arrays([self._ids_of(told.dictionary.filter(pa.array(used))), pa.array(self.starts(first), pa.large_binary())])
+        made = ids.take(pa.array(index))
+        ends, raw = np.frombuffer(made.buffers()[1], "i8", len(made) + 1), memoryview(made.buffers()[2] or b"")
+        cuts = ends[offsets].tolist()
+        return [raw[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+
+    def _ids_of(self, pieces):
+        """Ids of distinct pieces, each after its space (or beginning with a line end), as one Arrow array.
+
+        A Latin word and the marks behind it are two matches of the pattern. Words are looked up by columns and the new
+        ones given to the model together; other pieces go through `known`, one by one.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        word = pc.utf8_rtrim(pieces, _MARKS)
+        bare = pc.if_else(pc.starts_with(word, "\n"), pc.utf8_slice_codeunits(word, 1), word)
+        plain = pc.and_(pc.utf8_is_alpha(bare), pc.invert(pc.match_substring_regex(word, _BEYOND_LATIN)))
+        at = pc.index_in(word, value_set=self.words)
+        new = word.filter(pc.and_(plain, pc.is_null(at))).unique()
+        if len(self.words) + len(new) > self.memo:
+            self.words, self.word_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+            at, new = pa.nulls(len(word), pa.int32()), word.filter(plain).unique()
+        if len(new):
+            base = len(self.words)
+            self.word_ids = pa.concat_arrays([self.word_ids, self._word_ids(new)])
+            self.words = pa.concat_arrays([self.words, new])
+            at = pc.coalesce(at, pc.add(pc.index_in(word, value_set=new), pa.scalar(base, pa.int32())))
+        plain = plain.to_numpy(zero_copy_only=False)
+        marked = np.flatnonzero(plain & (pc.binary_length(word).to_numpy() < pc.binary_length(pieces).to_numpy()))
+        rows = pa.array(marked)
+        tails = [p[len(w) :] for p, w in zip(_listed(pieces.take(rows)), _listed(word.take(rows)))]
+        ends: list[bytes] = [b""] * len(pieces)
+        for i, x in zip(marked.tolist(), self._own_ids(tails)):
+            ends[i] = x
+        odd = np.flatnonzero(~plain)
+        others = _listed(pieces.take(pa.array(odd)))
+        self.learn_new(others)
+        for i, p in zip(odd.tolist(), others):
+            ends[i] = self.known[p]
+        begins = pc.fill_null(self.word_ids.take(pc.if_else(pa.array(plain), at, pa.scalar(None, pa.int32()))), b"")
+        return pc.binary_join_element_wise(begins, pa.array(ends, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+
+    def _word_ids(self, words):
+        """Ids of words, each after a space or a line end that it begins with."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        line = pc.starts_with(words, "\n")
+        raw = pc.replace_substring(words.cast(pa.large_binary()), b"\n", b"\n\xff")  # two matches
+        space, end, none = (pa.scalar(x, pa.large_binary()) for x in (b" ", b"\xff", b""))
+        laid = pc.binary_join_element_wise(pc.if_else(line, none, space), raw, end, none)
+        found = self._parted(memoryview(laid.buffers()[2])[:-1], pc.binary_length(words).to_numpy() + ~line.to_numpy(zero_copy_only=False))
+        if found is None:
+            return pa.array(self.wholes([_spaced(w) for w in _listed(words)]), pa.large_binary())
+        ids, cuts = found
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+
+    def _own_ids(self, matches: list[str]) -> list[bytes]:
+        """Ids of matches without a space before them."""
+        own = self.own
+        if new := {*matches}.difference(own):
+            if len(own) > self.memo:
+                own.clear()
+                new = {*matches}
+            new = [*new]
+            own.update(zip(new, self._matches(new) or self.wholes(new)))
+        return [own[m] for m in matches]
+
+    def learn_new(self, pieces: list[str]) -> None:
+        """Learn those of the pieces that are not known; all of them are known then."""
+        if new := [p for p in pieces if p not in self.known]:
+            if len(self.known) + len(self.own) > self.memo:  # `learn` empties the store
+                new = pieces
             self.learn(new)
-            # what was found above holds also if the store was emptied; pieces that are only heads have no ids here
-            found = [self.known.get(p, b"") if x is None else x for p, x in zip(distinct, found)]
-        found += self.starts(first)
-        step = self.dtype.itemsize
-        size = np.fromiter(map(len, found), "i8", len(found)) // step
-        ids = np.frombuffer(b"".join(found), self.dtype)
-        begin = np.cumsum(size) - size
-        many = size[index]
-        ends = np.cumsum(many)
-        raw = ids[np.repeat(begin[index] - (ends - many), many) + np.arange(ends[-1])].tobytes()
-        cuts = (np.concatenate(([0], ends))[offsets] * step).tolist()
-        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def learn_counts(self, texts: list[str]) -> None:
         """Learn the pieces that a batch needs, in one call of the library."""

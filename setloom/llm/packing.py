@@ -32,7 +32,7 @@ LENGTH = 1024
 SHARD = 512
 SHARD_IDS = 4 << 20
 #: Pieces that a worker keeps while it encodes.
-MEMO = 200_000
+MEMO = 400_000
 #: A term is kept densely if one document in DENSE of a shard has it.
 DENSE = 16
 K1, B = 1.2, 0.75
@@ -58,7 +58,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], c.dtype).tobytes()
         size = c.tokenizer.get_vocab_size()
         df, n, total = np.zeros(size, "i8"), 0, 0
-        for batch in slices(batches, rows=8192, size=5 << 19):
+        for batch in slices(batches, rows=8192, size=3 << 20):
             made = [x + end for x in c.encode_many(texts_of(batch))]
             ids = [np.frombuffer(x, c.dtype) for x in made]
             df += np.bincount(term_counts(ids)[1], minlength=size)

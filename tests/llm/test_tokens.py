@@ -50,6 +50,24 @@ def test_small_store_changes_nothing(library, monkeypatch):
         assert [(token_counts.boundary_counts(c, x)[1] or [0])[-1] for x in part] == [len(ids_of(library, x)) for x in part]
 
 
+def test_words_of_a_batch_are_looked_up_by_columns(library, monkeypatch):
+    c = bpe.Bpe(Tokenizer.from_file(JSON), True)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdéstÀ") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    marks = ["", ",", "***", ".\n", "\n", "!?", "'", "'s", "-", "$%", ".\n\n", "\t", "²", "日"]
+    texts = [" ".join(rng.choice(words) + rng.choice(marks) + rng.choice(["", "", rng.choice(words)]) for _ in range(60)) for _ in range(60)]
+    exact = [ids_of(library, x) for x in texts]
+    asked = []
+    monkeypatch.setattr(c, "learn", lambda x, f=c.learn: (asked.extend(x), f(x)))
+    assert [np.frombuffer(x, "<u2").tolist() for x in c.encode_many(texts)] == exact
+    # words, and words with marks or after a line end, are not learned one by one
+    assert asked and not [p for p in asked if p.rstrip(bpe._MARKS).removeprefix("\n").isalpha() and "日" not in p]
+    monkeypatch.setattr(c, "memo", 100)
+    for i in range(0, 60, 4):
+        assert [np.frombuffer(x, "<u2").tolist() for x in c.encode_many(texts[i : i + 4])] == exact[i : i + 4]
+        assert len(c.words) == len(c.word_ids) <= 400 * 4
+
+
 def test_ranks_equal_tiktoken():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
