@@ -27,44 +27,64 @@ VARIANCE = MAIN_K * (MAIN_K / MAIN_N) * (1 - MAIN_K / MAIN_N) * (MAIN_N - MAIN_K
 PANEL = "game string, t long, y array<int>, seen array<long>, last array<long>"
 
 
-def causal_lists(rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """PANEL: a row per draw; of each item in order y (drawn), seen and last (draws with it before t, and the latest or null).
+def causal_blocks(rows: DataFrame, size: int = BLOCK, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row per game and block of `size` consecutive t: game, arrays t, b1 to b5 and `more` of its draws in order, and
+    n and latest of each item before the block. One shuffle of draws; blocks are dealt over the shuffle's partitions.
 
-    Draws are dealt into blocks of `size` consecutive t. The sums of earlier blocks are one row per block and item, and
-    within a block the counts are running sums of a matrix, so that one shuffle of draws is all there is.
+    The sums of earlier blocks are one row per block and item.
     """
     block = F.floor((F.col("t") - 1) / size).cast("long").alias("block")
-    drawn = rows.select("game", "t", block, *(F.col(f"b{i}").cast("long").alias(f"b{i}") for i in range(1, MAIN_K + 1)))
-    names = ["t", *(f"b{i}" for i in range(1, MAIN_K + 1))]
+    mains = [f"b{i}" for i in range(1, MAIN_K + 1)]
+    names = ["t", *mains, *more]
+    drawn = rows.select("game", "t", block, *(F.col(c).cast("long").alias(c) for c in names[1:]))
     blocks = drawn.groupBy("game", "block").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rows"))
-    one = drawn.select("game", "t", "block", F.explode(F.array_distinct(F.array(*names[1:]))).alias("item")).where(F.col("item").between(1, MAIN_N))
+    one = drawn.select("game", "t", "block", F.explode(F.array_distinct(F.array(*mains))).alias("item")).where(F.col("item").between(1, MAIN_N))
     sums = one.groupBy("game", "block", "item").agg(F.count("*").alias("n"), F.max("t").alias("latest"))
     earlier = Window.partitionBy("game", "item").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
     cells = drawn.select("game", "block").distinct().withColumn("item", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(MAIN_N).cast("long"))))
     before = cells.join(sums, ["game", "block", "item"], "left").select("game", "block", F.struct("item", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.max("latest").over(earlier), F.lit(0)).alias("latest")).alias("x"))
     before = before.groupBy("game", "block").agg(F.array_sort(F.collect_list("x")).alias("x"))
     met = blocks.join(before, ["game", "block"]).select("game", *(F.col("rows")[c].alias(c) for c in names), F.col("x.n").alias("n"), F.col("x.latest").alias("latest"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: what comes out is many times what goes in
+    return met.repartition(parts, "game", "t")
+
+
+def block_values(block: pa.RecordBatch, column: str) -> np.ndarray:
+    """An array column of a block's row, nulls as 0."""
+    return block.column(column).flatten().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def causal_counts(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """t of a block's draws; y, seen and last (0: none) of each item at each of them, by running sums of a matrix."""
+    t = block_values(block, "t")
+    y = np.zeros((len(t), MAIN_N), "i4")
+    for i in range(1, MAIN_K + 1):
+        item = block_values(block, f"b{i}")
+        known = np.flatnonzero((item >= 1) & (item <= MAIN_N))
+        y[known, item[known] - 1] = 1
+    seen = block_values(block, "n") + np.cumsum(y, axis=0, dtype="i8") - y
+    last = np.maximum.accumulate(np.vstack((block_values(block, "latest"), np.where(y == 1, t[:, None], 0)[:-1])), axis=0)
+    return t, y, seen, last
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1)
+
+
+def causal_lists(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """PANEL: a row per draw; of each item in order y (drawn), seen and last (draws with it before t, and the latest or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                value = lambda c, one=one: one.column(c).flatten().fill_null(0).to_numpy(zero_copy_only=False)
-                t = value("t")
-                y = np.zeros((len(t), MAIN_N), "i4")
-                for c in names[1:]:
-                    item = value(c)
-                    known = np.flatnonzero((item >= 1) & (item <= MAIN_N))
-                    y[known, item[known] - 1] = 1
-                seen = value("n") + np.cumsum(y, axis=0, dtype="i8") - y
-                last = np.maximum.accumulate(np.vstack((value("latest"), np.where(y == 1, t[:, None], 0)[:-1])), axis=0).ravel()
-                starts = pa.array(np.arange(0, y.size + 1, MAIN_N), pa.int32())
-                lists = [pa.ListArray.from_arrays(starts, x) for x in (pa.array(y.ravel()), pa.array(seen.ravel()), pa.array(last, mask=last == 0))]
-                game = pa.array([one.column("game")[0].as_py()] * len(t), pa.string())
-                yield pa.RecordBatch.from_arrays([game, pa.array(t), *lists], ["game", "t", "y", "seen", "last"])
+        for one in each_row(batches):
+            t, y, seen, last = causal_counts(one)
+            starts = pa.array(np.arange(0, y.size + 1, MAIN_N), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, x) for x in (pa.array(y.ravel()), pa.array(seen.ravel()), pa.array(last.ravel(), mask=last.ravel() == 0))]
+            game = pa.array([one.column("game")[0].as_py()] * len(t), pa.string())
+            yield pa.RecordBatch.from_arrays([game, pa.array(t), *lists], ["game", "t", "y", "seen", "last"])
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: what comes out is many times what goes in
-    return met.repartition(parts, "game", "t").mapInArrow(run, PANEL)
+    return causal_blocks(rows, size).mapInArrow(run, PANEL)
 
 
 def causal_panel(rows: DataFrame) -> DataFrame:
@@ -148,30 +168,139 @@ def item_features(rows: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(sizes), "game").select("game", "t", "item", "y", (F.col("seen") / (F.col("t") - 1) * 10.0).alias("rate"), F.log1p(gap.cast("double")).alias("gap"), (F.col("t") / F.col("n")).alias("age"))
 
 
+#: Folds of m1: draws up to a share of the history are learned from, those up to the next one are judged.
+FOLDS = ((0.4, 0.6), (0.6, 0.8), (0.8, 1.0))
+STRENGTHS = (0.01, 0.1, 1.0)
+#: Newton's method ends when a step, in standard deviations of the features, is below this: what is left is its square.
+STEP, STEPS = 1e-7, 50
+
+
+class Cells:
+    """Features of a block's draws after the warm-up, a row per draw and a column per item."""
+
+    def __init__(self, block: pa.RecordBatch):
+        t, y, seen, last = causal_counts(block)
+        kept = t > WARM_UP
+        self.t, self.y = t[kept], y[kept]
+        self.rate = seen[kept] / (self.t - 1)[:, None] * 10.0
+        self.gap = np.log1p((self.t[:, None] - last[kept]).astype("f8"))
+        self.age = self.t / block.column("draws")[0].as_py()
+        self.w = np.where(self.y == 1, MAIN_N / (2.0 * MAIN_K), MAIN_N / (2.0 * (MAIN_N - MAIN_K)))
+
+    def learned(self, fold: int) -> slice:
+        """The rows (draws are in order) that a fold learns from."""
+        return slice(0, int(np.count_nonzero(self.age <= FOLDS[fold][0])))
+
+    def judged(self, fold: int) -> slice:
+        return slice(*(int(np.count_nonzero(self.age <= x)) for x in FOLDS[fold]))
+
+    def chance(self, rows: slice, beta: tuple[float, ...]) -> np.ndarray:
+        return 1 / (1 + np.exp(-(beta[0] + beta[1] * self.rate[rows] + beta[2] * self.gap[rows])))
+
+    def moments(self, fold: int) -> np.ndarray:
+        """Sums of w, w * w, and w times the features and their squares."""
+        rows = self.learned(fold)
+        w, x = self.w[rows], (self.rate[rows], self.gap[rows])
+        return np.array([w.sum(), (w * w).sum(), *((w * c).sum() for c in x), *((w * c * c).sum() for c in x)])
+
+    def slopes(self, fold: int, beta: tuple[float, ...]) -> np.ndarray:
+        """Sums of the loss, its gradient and the upper half of its second derivatives."""
+        rows = self.learned(fold)
+        w, y, x1, x2 = self.w[rows], self.y[rows], self.rate[rows], self.gap[rows]
+        p = self.chance(rows, beta)
+        loss = -(w * np.log(np.where(y == 1, p, 1 - p))).sum()
+        r, h = w * (p - y), w * p * (1 - p)
+        h1, h2 = h * x1, h * x2
+        return np.array([loss, r.sum(), (r * x1).sum(), (r * x2).sum(), h.sum(), h1.sum(), h2.sum(), (h1 * x1).sum(), (h1 * x2).sum(), (h2 * x2).sum()])
+
+    def judgement(self, fold: int, beta: tuple[float, ...]) -> np.ndarray:
+        """Rows judged, sums of w and of the loss, and hits of the draws' five likeliest items (equal chances: the smaller item)."""
+        rows = self.judged(fold)
+        p, y, w = self.chance(rows, beta), self.y[rows], self.w[rows]
+        left, at, hits = -np.rint(p * 1e9), np.arange(len(y)), 0
+        for _ in range(MAIN_K):
+            best = left.argmin(1)
+            hits += int(y[at, best].sum())
+            left[at, best] = np.inf
+        return np.array([y.size, w.sum(), -(w * np.log(np.where(y == 1, p, 1 - p))).sum(), hits])
+
+
+def _sums(blocks: DataFrame, asked: list[tuple[str, tuple]]) -> list[np.ndarray]:
+    """For each (method of Cells, its arguments) the sum over all blocks; a row per task comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for one in each_row(batches):
+            cells = Cells(one)
+            made = [getattr(cells, name)(*args) for name, args in asked]
+            total = made if total is None else [a + b for a, b in zip(total, made)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in total], pa.list_(pa.float64())), pa.array(range(len(total)), pa.int32())], ["x", "at"])
+
+    rows = blocks.mapInArrow(run, "x array<double>, at int").collect()
+    return [np.sum([r["x"] for r in rows if r["at"] == i], axis=0) for i in range(len(asked))] if rows else []
+
+
+def logistic_fits(blocks: DataFrame) -> dict[tuple[int, float], tuple[float, ...]]:
+    """Intercept and coefficients of rate and gap for each fold with rows and each C, by Newton's method.
+
+    The penalty is on coefficients of standardised features and 1 / (C times the weights' sum). A pass over the blocks
+    serves all models. The other strengths of a fold start from where its last one has ended, so they need few passes.
+    """
+    moments = _sums(blocks, [("moments", (f,)) for f in range(len(FOLDS))])
+    folds = [f for f, m in enumerate(moments) if m[0] > 0]
+    spread = {}
+    for f in folds:
+        w, squares, *x = moments[f]
+        spare = w - squares / w
+        spread[f] = np.maximum([x[2] - x[0] ** 2 / w, x[3] - x[1] ** 2 / w], 0.0) / spare if spare > 0 else np.zeros(2)
+    lead = STRENGTHS[-1]
+    at = {(f, lead): np.zeros(3) for f in folds}
+    was: dict[tuple[int, float], tuple[float, np.ndarray]] = {}
+    done: dict[tuple[int, float], tuple[float, ...]] = {}
+    for _ in range(STEPS):
+        if not at:
+            break
+        points = sorted({(f, tuple(beta.tolist())) for (f, _), beta in at.items()})
+        slopes = dict(zip(points, _sums(blocks, [("slopes", x) for x in points])))
+        for (f, c), beta in [*at.items()]:
+            loss, *s = slopes[f, tuple(beta.tolist())] / moments[f][0]
+            followers = [x for x in STRENGTHS if x != c] if c == lead else []
+            for strength in (c, *followers):
+                ridge = np.array([0.0, *(spread[f] / (strength * moments[f][0]))])
+                total = loss + (ridge * beta**2).sum() / 2
+                if strength == c:
+                    if (f, c) in was and not total <= was[f, c][0] + 1e-12:
+                        at[f, c] = (beta + was[f, c][1]) / 2  # the step was too long
+                        break
+                    was[f, c] = (total, beta)
+                free = np.flatnonzero([True, *(spread[f] > 0)])  # a constant feature has no coefficient
+                second = np.array([[s[3], s[4], s[5]], [s[4], s[6], s[7]], [s[5], s[7], s[8]]]) + np.diag(ridge)
+                step = np.zeros(3)
+                step[free] = np.linalg.solve(second[np.ix_(free, free)], (np.array(s[:3]) + ridge * beta)[free])
+                small = np.abs(step * np.array([1.0, *np.sqrt(spread[f])])).max() < STEP
+                if strength == c:
+                    at[f, c] = beta - step
+                    if not small:
+                        break
+                    done[f, c] = tuple(at.pop((f, c)).tolist())
+                elif small:
+                    done[f, strength] = tuple((beta - step).tolist())
+                else:
+                    at[f, strength] = beta - step
+    return done | {k: tuple(beta.tolist()) for k, beta in at.items()}
+
+
 def m1_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced logistic models of being drawn: log-loss and hits in the next fold, for each C and expanding fold."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = stored(item_features(draws(spark, sf_dir)), "item-features")
-    data = VectorAssembler(inputCols=["rate", "gap"], outputCol="features").transform(rows)
-    data = data.withColumn("w", F.when(F.col("y") == 1, MAIN_N / (2.0 * MAIN_K)).otherwise(MAIN_N / (2.0 * (MAIN_N - MAIN_K))))
-    made = None
-    for fold, (cut, end) in enumerate(((0.4, 0.6), (0.6, 0.8), (0.8, 1.0)), 1):
-        train = data.where(F.col("age") <= cut)
-        weight = train.agg(F.sum("w")).first()[0]
-        if not weight:
-            continue
-        for c in (0.01, 0.1, 1.0):
-            model = LogisticRegression(labelCol="y", weightCol="w", regParam=1.0 / (c * weight), maxIter=50, tol=1e-9).fit(train)
-            test = model.transform(data.where((F.col("age") > cut) & (F.col("age") <= end))).withColumn("p", vector_to_array("probability")[1])
-            loss = -F.log(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))) * F.col("w")
-            place = F.row_number().over(Window.partitionBy("game", "t").orderBy(F.desc(F.round("p", 9)), "item"))
-            row = test.withColumn("place", place).agg(F.count("*").alias("rows"), F.round(F.sum(loss) / F.sum("w"), 6).alias("log_loss"), F.sum(F.when(F.col("place") <= MAIN_K, F.col("y")).otherwise(0)).alias("hits"))
-            row = row.select(F.lit(fold).alias("fold"), F.lit(c).alias("c"), "rows", "log_loss", "hits")
-            made = row if made is None else made.unionByName(row)
-    return made if made is not None else spark.createDataFrame([], "fold int, c double, rows long, log_loss double, hits long")
+    rows = draws(spark, sf_dir)
+    sizes = rows.groupBy("game").agg(F.count("*").alias("draws"))  # a row per game
+    blocks = stored(causal_blocks(rows).join(F.broadcast(sizes), "game"), "item-blocks")
+    fits = sorted(logistic_fits(blocks).items())
+    out = []
+    for ((fold, c), _), (many, weight, loss, hits) in zip(fits, _sums(blocks, [("judgement", (f, beta)) for (f, _), beta in fits])):
+        out.append((fold + 1, c, int(many), float(loss / weight) if many else None, int(hits) if many else None))
+    return spark.createDataFrame(out, "fold int, c double, rows long, log_loss double, hits long").withColumn("log_loss", F.round("log_loss", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (e1_forward_benchmark, b7_low_overlap, m3_calendar_glm, m1_logistic)}
