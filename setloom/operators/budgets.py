@@ -9,53 +9,124 @@ methods in turn, at the same budget, and is compared with the best of them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setloom.plans.dialect import Duck, Spark
+from setloom.functions.digests import uniforms
+from setloom.plans.dialect import Duck
 from setloom.plans.draws import MAIN_K, MAIN_N, draws
 from setloom.plans.views import DRAWS, LONG, domain, with_
-from setloom.sources.storage import stored
 
 from .benchmarks import prize_tiers
-from .forward import METHODS, VARIANCE, WARM_UP, causal_lists
+from .forward import METHODS, VARIANCE, WARM_UP, block_values, causal_blocks, causal_counts, each_row
 from .portfolio import STAR_K, STAR_N
 
 BUDGET, PRICE = 6, 2.5
-#: Weight of an item before draw t.
-WEIGHTS = {"frequency": "seen + 1", "overdue": "t - last", "uniform": "1"}
-
-
-def _chance(*parts: str) -> str:
-    return Spark().u("concat('" + parts[0] + "', " + ", ':', ".join(f"cast({p} as varchar(40))" for p in parts[1:]) + ")")
+#: Draws of a block whose tickets are made together.
+HELD = 512
+
+
+def smallest(values: np.ndarray, many: int) -> np.ndarray:
+    """Which `many` of the last axis are smallest; equal ones: the first. The values are used up."""
+    flat = values.reshape(-1, values.shape[-1])
+    rows, chosen = np.arange(len(flat)), np.zeros(flat.shape, bool)
+    for _ in range(many):
+        at = flat.argmin(1)
+        chosen[rows, at] = True
+        flat[rows, at] = np.inf
+    return chosen.reshape(values.shape)
+
+
+class Tickets:
+    """The `budget` tickets of each method at some draws: has and stars say which items and stars each of them has."""
+
+    def __init__(self, game: str, t: np.ndarray, seen: np.ndarray, last: np.ndarray, budget: int):
+        turns = range(1, budget + 1)
+        chance = uniforms([f"e1b:{game}:{x}:" for x in t.tolist()], [f"{j}:{i}" for j in turns for i in range(1, MAIN_N + 1)])
+        keys = -np.log(1.0 - chance).reshape(len(t), budget, MAIN_N)
+        weights = {"frequency": seen + 1, "overdue": t[:, None] - last, "uniform": np.ones_like(seen)}
+        self.has = {m: smallest(keys / weights[m][:, None, :], MAIN_K) for m in METHODS}
+        self.has["pooled"] = np.stack([self.has[METHODS[j % len(METHODS)]][:, j] for j in range(budget)], 1)
+        luck = uniforms([f"e1s:{game}:{x}:" for x in t.tolist()], [f"{j}:{s}" for j in turns for s in range(1, STAR_N + 1)])
+        self.stars = smallest(luck.reshape(len(t), budget, STAR_N), STAR_K)
+
+    def mains(self, method: str) -> np.ndarray:
+        """The items of each draw's tickets in order."""
+        has = self.has[method]
+        return (np.nonzero(has.reshape(-1, MAIN_N))[1] + 1).reshape(*has.shape[:2], MAIN_K)
+
+
+def bought(block: pa.RecordBatch, budget: int, warm_up: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, Tickets]]:
+    """Game, t, drawn items and stars (whether a draw has them) and tickets of a block's draws after the warm-up, HELD at once."""
+    game = block.column("game")[0].as_py()
+    t, y, seen, last = causal_counts(block)
+    stars = np.zeros((len(t), STAR_N + 1), bool)
+    for c in ("s1", "s2"):
+        s = block_values(block, c)
+        known = np.flatnonzero((s >= 1) & (s <= STAR_N))
+        stars[known, s[known]] = True
+    kept = np.flatnonzero(t > warm_up)
+    for at in range(0, len(kept), HELD):
+        some = kept[at : at + HELD]
+        yield game, t[some], y[some].astype(bool), stars[some, 1:], Tickets(game, t[some], seen[some], last[some], budget)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """An array of lists (of lists) from all but the first axis."""
+    out = pa.array(values.ravel(), pa.int32())
+    for axis in range(values.ndim - 1, 0, -1):
+        many = int(np.prod(values.shape[:axis]))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * values.shape[axis], pa.int32()), out)
+    return out
 
 
 def portfolios(history: DataFrame, budget: int, warm_up: int = WARM_UP) -> DataFrame:
-    """game, t, drawn, stars, method, mains: the `budget` tickets of each method at each draw after the first `warm_up`.
+    """game, t, drawn, stars, bought_stars, method, mains: the `budget` tickets of each method at each draw after the first `warm_up`."""
 
-    One shuffle brings a draw's items together; tickets are made within its row.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in each_row(batches):
+            for game, t, _, _, tickets in bought(one, budget, warm_up):
+                stars = _lists((np.nonzero(tickets.stars.reshape(-1, STAR_N))[1] + 1).reshape(len(t), budget, STAR_K))
+                for method in tickets.has:
+                    yield pa.RecordBatch.from_arrays([pa.array([game] * len(t), pa.string()), pa.array(t), stars, pa.array([method] * len(t)), _lists(tickets.mains(method))], ["game", "t", "bought_stars", "method", "mains"])
+
+    made = causal_blocks(history, more=("s1", "s2")).mapInArrow(run, "game string, t long, bought_stars array<array<int>>, method string, mains array<array<int>>")
     main = F.array(*(f"b{i}" for i in range(1, MAIN_K + 1)))
-    cells = F.expr("transform(arrays_zip(seen, last), (x, i) -> named_struct('item', i + 1, 'seen', x.seen, 'last', coalesce(x.last, 0)))").alias("cells")
-    lists = causal_lists(history).where(F.col("t") > warm_up).select("game", "t", cells)
-    made = history.select("game", "t", main.alias("drawn"), F.array("s1", "s2").alias("stars")).join(lists, ["game", "t"])
-    key = f"-ln(1.0 - {_chance('e1b:', 'game', 't', 'j', 'c.item')})"
-    made = made.withColumn("keys", F.expr(f"transform(sequence(1, {budget}), j -> transform(cells, c -> {key}))"))
-    star = f"slice(array_sort(transform(sequence(1, {STAR_N}), s -> named_struct('k', {_chance('e1s:', 'game', 't', 'j', 's')}, 's', s))), 1, {STAR_K})"
-    made = made.withColumn("bought_stars", F.expr(f"transform(sequence(1, {budget}), j -> {star}.s)"))
+    return made.join(history.select("game", "t", main.alias("drawn"), F.array("s1", "s2").alias("stars")), ["game", "t"]).select("game", "t", "drawn", "stars", "bought_stars", "method", "mains")
+
+
+SETTLED = "game string, method string, balls int, stars int, tickets long, draws long, items long, pairs long"
+
+
+def settled(history: DataFrame, budget: int, warm_up: int) -> DataFrame:
+    """SETTLED: how many tickets of a method have so many of the drawn balls and stars; with one of a block's rows come
+    its draws and the sums of different items and pairs that a draw's tickets have. No ticket leaves its block's task."""
 
-    def bought(weight: str) -> Column:
-        for c in ("seen", "last"):
-            weight = weight.replace(c, f"c.{c}")
-        return F.expr(f"transform(keys, ks -> array_sort(slice(array_sort(zip_with(cells, ks, (c, k) -> named_struct('k', k / ({weight}), 'item', c.item))), 1, {MAIN_K}).item))")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in each_row(batches):
+            for game, t, drawn, stars, tickets in bought(one, budget, warm_up):
+                lucky = (tickets.stars & stars[:, None, :]).sum(2)
+                rows = []
+                for method, has in tickets.has.items():
+                    cell = (has & drawn[:, None, :]).sum(2) * (STAR_K + 1) + lucky
+                    many = np.bincount(cell.ravel(), minlength=(MAIN_K + 1) * (STAR_K + 1))
+                    mains = tickets.mains(method)
+                    first, second = np.triu_indices(MAIN_K, 1)
+                    codes = np.sort((mains[:, :, first] * 64 + mains[:, :, second]).astype("i2").reshape(len(t), -1), axis=1)
+                    sums = (len(t), int(has.any(1).sum()), len(t) + int(np.count_nonzero(np.diff(codes, axis=1))))
+                    for at in np.flatnonzero(many).tolist():
+                        rows.append((game, method, *divmod(at, STAR_K + 1), int(many[at]), *sums))
+                        sums = (0, 0, 0)
+                names = [c.split()[0] for c in SETTLED.split(", ")]
+                kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in SETTLED.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names)
 
-    made = made.select("game", "t", "drawn", "stars", "bought_stars", *(bought(w).alias(m) for m, w in WEIGHTS.items()))
-    turn = F.array(*(F.col(METHODS[j % len(METHODS)])[j] for j in range(budget)))
-    each = [F.struct(F.lit(m).alias("method"), F.col(m).alias("mains")) for m in METHODS] + [F.struct(F.lit("pooled").alias("method"), turn.alias("mains"))]
-    return made.select("game", "t", "drawn", "stars", "bought_stars", F.explode(F.array(*each)).alias("m")).select("game", "t", "drawn", "stars", "bought_stars", "m.*")
+    return causal_blocks(history, more=("s1", "s2")).mapInArrow(run, SETTLED)
 
 
 def equal_budget(history: DataFrame, tiers: DataFrame, budget: int = BUDGET, price: float = PRICE, warm_up: int = WARM_UP) -> DataFrame:
@@ -65,16 +136,11 @@ def equal_budget(history: DataFrame, tiers: DataFrame, budget: int = BUDGET, pri
     `tiers` has balls, stars, prize: a row per tier; a tier without one pays nothing. A draw of fewer than `warm_up`
     earlier draws is not played, and a game without others has no rows. A repeated ticket is paid and settled each time.
     """
-    pairs = F.expr("size(array_distinct(flatten(transform(mains, m -> flatten(transform(m, a -> transform(filter(m, b -> b > a), b -> a * 64 + b)))))))")
-    held = portfolios(history, budget, warm_up).select(
-        "game", "method", F.size(F.array_distinct(F.flatten("mains"))).alias("items"), pairs.alias("pairs"),
-        F.expr("zip_with(mains, bought_stars, (m, s) -> named_struct('balls', size(array_intersect(m, drawn)), 'stars', size(array_intersect(s, stars))))").alias("hits"))
-    shown = stored(held, "held").select("game", "method", "items", "pairs", F.posexplode("hits").alias("at", "h")).select("game", "method", "items", "pairs", "at", "h.*")
-    paid = shown.join(F.broadcast(tiers.where(f"balls between 0 and {MAIN_K} and stars between 0 and {STAR_K}")), ["balls", "stars"], "left")  # 18 tiers
-    first = lambda c: F.avg(F.when(F.col("at") == 0, F.col(c)))
+    counts = settled(history, budget, warm_up).groupBy("game", "method", "balls", "stars").agg(*(F.sum(c).alias(c) for c in ("tickets", "draws", "items", "pairs")))
+    paid = counts.join(F.broadcast(tiers.where(f"balls between 0 and {MAIN_K} and stars between 0 and {STAR_K}")), ["balls", "stars"], "left")  # 18 tiers
     sums = paid.groupBy("game", "method").agg(
-        F.count_if(F.col("at") == 0).alias("draws"), F.count("*").alias("tickets"), F.sum("balls").alias("hits"), first("items").alias("items"), first("pairs").alias("pairs"),
-        F.sum(F.coalesce("prize", F.lit(0.0))).alias("won"), F.max(F.col("balls") * 10 + F.col("stars")).alias("top"))
+        F.sum("draws").alias("draws"), F.sum("tickets").alias("tickets"), F.sum(F.col("balls") * F.col("tickets")).alias("hits"), (F.sum("items") / F.sum("draws")).alias("items"), (F.sum("pairs") / F.sum("draws")).alias("pairs"),
+        F.sum(F.coalesce("prize", F.lit(0.0)) * F.col("tickets")).alias("won"), F.max(F.col("balls") * 10 + F.col("stars")).alias("top"))
     game = Window.partitionBy("game")  # four rows
     mean, spent = F.col("hits") / F.col("tickets"), F.col("tickets") * price
     single = F.col("method") != "pooled"
