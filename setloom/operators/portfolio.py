@@ -73,10 +73,31 @@ def evidence(history: DataFrame) -> DataFrame:
     return met.select("game", "kind", "a", "b", "z0", "z1", value.alias("value"))
 
 
+#: A component's place in a game's array of values, by kind: none for what is no component of the game.
+_PAIR = "case when {c}.a < {c}.b and {c}.b <= {n} then {at} + ({c}.a - 1) * {n} - {c}.a * ({c}.a - 1) div 2 + {c}.b - {c}.a - 1 end"
+_STARS_AT = MAIN_N + math.comb(MAIN_N, 2) + MAIN_N * STAR_N
+
+
+def place_of(c: str) -> str:
+    """The place as an expression of a component struct, in Spark's spelling."""
+    single = f"case when {c}.a <= {{n}} then {{at}} + {c}.a - 1 end"
+    cross = f"case when {c}.a <= {MAIN_N} and {c}.b <= {STAR_N} then {MAIN_N + math.comb(MAIN_N, 2)} + ({c}.a - 1) * {STAR_N} + {c}.b - 1 end"
+    kinds = {"main": single.format(n=MAIN_N, at=0), "main-main": _PAIR.format(c=c, n=MAIN_N, at=MAIN_N), "main-star": cross, "star": single.format(n=STAR_N, at=_STARS_AT), "star-star": _PAIR.format(c=c, n=STAR_N, at=_STARS_AT + STAR_N)}
+    return "cast(case " + " ".join(f"when {c}.kind = '{k}' then {x}" for k, x in kinds.items()) + " end as int)"
+
+
 def ticket_signals(pool: DataFrame, found: DataFrame) -> DataFrame:
-    """game, ticket_id, signal: the sum of the values of a ticket's components; only tickets with any."""
-    parts = pool.select("ticket_id", F.explode(components()).alias("c")).select("ticket_id", "c.*")
-    return parts.join(found.where("value <> 0"), ["kind", "a", "b"]).groupBy("game", "ticket_id").agg(F.sum("value").alias("signal"))
+    """pool once a game, with signal: the sum of the values of a ticket's components, added within its row.
+
+    A game's values are one row (an array with a place for each component), so of tickets and values only these meet
+    the driver, whatever the pool's size.
+    """
+    values = found.select("game", F.struct(F.expr(place_of("named_struct('kind', kind, 'a', a, 'b', b)")).alias("place"), "value").alias("x"))
+    values = values.groupBy("game").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["value"]).alias("of_game"))
+    parts = components().alias("parts")
+    each = pool.select("*", parts).crossJoin(F.broadcast(values))  # each ticket once a game; of the two only the games may pass the driver
+    signal = F.expr(f"aggregate(parts, 0.0D, (s, c) -> s + coalesce(get(of_game, {place_of('c')}), 0.0D))")
+    return each.select(*pool.columns, "game", signal.alias("signal"))
 
 
 def rank01(rows: DataFrame, group: str, value: str, out: str) -> DataFrame:
@@ -279,9 +300,8 @@ def guarded_portfolio(pool: DataFrame, history: DataFrame, budget: int, kept: in
         plain = chosen(crowd, CROWD * F.col("crowd_rank"))
         out += [("ablation", g, plain) for g in games]
     if "guarded" in modes:
-        each = crowd.crossJoin(F.broadcast(history.select("game").distinct()))  # each ticket once a game; of the two only the games may pass the driver
-        signals = each.join(ticket_signals(pool, evidence(history)), ["game", "ticket_id"], "left").fillna(0.0, ["signal"])
-        rows = stored(rank01(signals, "game", "signal", "signal_rank"), "signals")
+        signals = stored(ticket_signals(crowd, stored(evidence(history), "evidence")), "signals")
+        rows = stored(rank01(signals, "game", "signal", "signal_rank"), "ranked-signals")
         out += [("guarded", g, chosen(rows.where(F.col("game") == g), CROWD * F.col("crowd_rank") + SIGNAL * F.col("signal_rank"))) for g in games]
     made = [(mode, g, i, r["ticket_id"], r["main"], r["star"], r["gain"]) for mode, g, found in out for i, r in enumerate(found, 1)]
     return spark.createDataFrame(made, "mode string, game string, " + CHOSEN)
